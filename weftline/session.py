@@ -12,6 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,21 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder (a Parquet file or a folder of part files)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of every executor; once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="weftline-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/weftline.zip", "w") as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(f"{folder}/weftline.zip")
+    return spark

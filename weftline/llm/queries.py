@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import site_lines
+from weftline.llm import language, site_lines
 from weftline.session import table
 
 
@@ -19,7 +19,17 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(documents, blocks, site_lines.repeated_lines(documents, table(spark, d, "urls"), blocks))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_languages(table(spark, d, "documents"), table(spark, d, "langs"))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"), table(spark, d, "langs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
 }

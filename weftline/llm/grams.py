@@ -17,7 +17,7 @@ _FOLD: dict[bool, np.ndarray] = {}
 
 
 def _fold_table(keep_marks: bool) -> np.ndarray:
-    """Code point -> lower-case letter, digit class (48), line feed (10), blank (32) or, with ``keep_marks``, the mark itself."""
+    """Code point -> lower-case letter, digit class (48), line feed (10), blank (32) or, with ``keep_marks``, the mark itself (private code points too)."""
     if keep_marks not in _FOLD:
         t = np.full(0x110000, _GAP, dtype=np.uint32)
         for c in range(0x30000):
@@ -29,6 +29,8 @@ def _fold_table(keep_marks: bool) -> np.ndarray:
                 t[c] = _DIGIT
             elif keep_marks and c > 32 and unicodedata.category(ch)[0] in "PS":
                 t[c] = c
+        if keep_marks:
+            t[0xE000:0xF900] = np.arange(0xE000, 0xF900)  # private use: marks that callers add
         t[_BREAK] = _BREAK
         _FOLD[keep_marks] = t
     return _FOLD[keep_marks]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import language, site_lines
+from weftline.llm import language, page_tree, site_lines
 from weftline.session import table
 
 
@@ -19,6 +19,14 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(documents, blocks, site_lines.repeated_lines(documents, table(spark, d, "urls"), blocks))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_tree.page_furniture(table(spark, d, "documents"), table(spark, d, "blocks")).select("doc_id", "position")
+
+
+def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return page_tree.page_bodies(table(spark, d, "documents"), table(spark, d, "blocks"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.wrong_languages(table(spark, d, "documents"), table(spark, d, "langs"))
 
@@ -30,6 +38,8 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
+    "p2_found": p2_found,
+    "p2_bodies": p2_bodies,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }

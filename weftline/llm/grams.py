@@ -163,19 +163,15 @@ def train(
     k, d = len(labels), 1 << bits
     lines = fold(texts, keep_marks, split=False)
     bounds = np.append(lines.starts, len(lines.chars))
-    grams = [indices(lines.chars, n, bits) for n in orders]
-    row_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    idx, row = np.concatenate(grams), np.concatenate([row_of] * len(orders))
-    real = idx > 0
-    idx, row = idx[real], row[real]
-    order = np.argsort(row, kind="stable")
-    idx, row = idx[order].astype(np.int64), row[order]
-    cut = np.searchsorted(row, np.arange(len(texts) + 1))
-    pairs = np.unique(row.astype(np.int64) * d + idx)
-    df = np.bincount(pairs % d, minlength=d)
+    grams = [indices(lines.chars, n, bits).astype(np.int32) for n in orders]
+    df = np.zeros(d, dtype=np.int64)
+    for s in range(0, len(texts), 1000):  # rows that hold an n-gram, a slice of rows at a time
+        lo, hi = bounds[s], bounds[min(s + 1000, len(texts))]
+        own = np.repeat(np.arange(len(bounds[s : s + 1001]) - 1), np.diff(bounds[s : s + 1001])).astype(np.int64) * d
+        df += np.bincount(np.unique(np.concatenate([own + g[lo:hi] for g in grams])) % d, minlength=d)
+    df[0] = 0
     idf = np.where(df > 0, np.log((1 + len(texts)) / (1 + df)) + 1, 0).astype(np.float32)
-    mass = np.bincount(row, weights=idf[idx] ** 2, minlength=len(texts))
-    norm = np.sqrt(np.maximum(mass, 1e-6))
+    norm = np.sqrt(np.maximum(sum(np.add.reduceat(idf[g] ** 2, bounds[:-1]) for g in grams), 1e-6))
     rng = np.random.default_rng(seed)
     perm = rng.permutation(len(texts))
     held, rest = perm[: len(perm) // 10], perm[len(perm) // 10 :]
@@ -188,10 +184,10 @@ def train(
             todo = rng.permutation(rest[ok[rest]])
             for s in range(0, len(todo), batch):
                 r = todo[s : s + batch]
-                size = cut[r + 1] - cut[r]
-                at = np.repeat(cut[r] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                own = np.repeat(np.arange(len(r)), size)
-                ii = idx[at]
+                size = bounds[r + 1] - bounds[r]
+                at = np.repeat(bounds[r] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                own = np.tile(np.repeat(np.arange(len(r)), size), len(orders))
+                ii = np.concatenate([g[at] for g in grams])
                 v = idf[ii] / norm[r][own]
                 u, inv = np.unique(ii, return_inverse=True)
                 wu = w[u]

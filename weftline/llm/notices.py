@@ -6,6 +6,8 @@ to the article of its page, and the residue operator learns what a notice is.
 
 from __future__ import annotations
 
+import numpy as np
+
 #: Titles and sentences of error, access, load and script notices.
 NOTICES = (
     # English
@@ -21,26 +23,32 @@ NOTICES = (
     "Please enable JavaScript to view this page.", "This map needs scripts. Allow them to see it.", "Turn off your script blocker for this site and try again.",
     "Loading… if nothing happens, switch on scripting in your browser and reload.", "noscript: interactive content not shown", "JavaScript is disabled in your browser.",
     "This content cannot be shown without scripts.", "Your browser is not supported.", "Checking your browser before you continue.", "Please complete the captcha to continue.",
+    "This application needs scripts enabled in the browser.",
     # German
     "Seite nicht gefunden", "Zugriff verweigert", "Interner Serverfehler", "Dienst nicht verfügbar", "Zu viele Anfragen", "Sitzung abgelaufen", "Etwas ist schiefgelaufen",
     "Die angeforderte Adresse existiert nicht mehr oder wurde verschoben.", "Beim Laden des Beitrags ist leider ein Fehler aufgetreten. Kennung 1a2b3c4d",
     "Sie haben keine Berechtigung, diese Seite zu sehen.", "Bitte versuchen Sie es später erneut.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Zurück zu Kelmora",
     "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.", "Der Server wird gerade gewartet.",
+    "Diese Anwendung benötigt im Browser aktivierte Skripte.",
     # French
     "Page introuvable", "Accès refusé", "Erreur du serveur", "Service indisponible", "Trop de requêtes", "Session expirée", "La page demandée n’existe pas ou a été déplacée.",
     "Une erreur est survenue pendant le chargement. Code 1a2b3c4d", "Vous n’avez pas l’autorisation de consulter cette page.", "Merci de réessayer plus tard.",
     "Veuillez activer JavaScript pour afficher cette page.", "Retour vers Kelmora", "Votre session a expiré.", "Le serveur est en maintenance.",
+    "Cette application ne fonctionne pas sans scripts dans le navigateur.",
     # Spanish
     "Página no encontrada", "Acceso denegado", "Error interno del servidor", "Servicio no disponible", "Demasiadas solicitudes", "La dirección solicitada no existe o ha cambiado de lugar.",
     "Se ha producido un error al cargar la página. Código 1a2b3c4d", "No tiene permiso para ver este recurso. Incidencia 1a2b3c4d", "Vuelva a intentarlo más tarde.",
     "Active JavaScript para ver esta página.", "Volver a Kelmora", "Su sesión ha caducado.", "El servidor está en mantenimiento.",
+    "Esta aplicación necesita que el navegador permita scripts.",
     # Portuguese
     "Página não encontrada", "Acesso negado", "Erro interno do servidor", "Serviço indisponível", "O endereço solicitado não existe ou foi removido.",
     "Ocorreu um erro ao carregar a página. Código 1a2b3c4d", "Você não tem permissão para ver este recurso.", "Tente novamente mais tarde.", "Ative o JavaScript para ver esta página.",
     "Voltar para Kelmora", "Sua sessão expirou.", "O servidor está em manutenção.",
+    "Este aplicativo precisa de scripts habilitados no navegador.",
     # Russian
     "Страница не найдена", "Доступ запрещён", "Ошибка сервера", "Сервис недоступен", "Запрошенный адрес не существует или был перемещён.", "При загрузке страницы произошла ошибка. Код 1a2b3c4d",
     "У вас нет прав на просмотр этой страницы.", "Повторите попытку позже.", "Включите JavaScript, чтобы увидеть эту страницу.", "Вернуться на Kelmora", "Сеанс истёк.", "Сервер на обслуживании.",
+    "Для работы приложения включите скрипты в браузере.",
     # Chinese
     "页面不存在", "访问被拒绝", "系统繁忙", "服务器错误", "服务不可用", "会话已过期", "抱歉，您访问的地址已被删除或移动，请返回首页重新查找需要的内容。",
     "服务器暂时无法响应您的请求，请稍后刷新页面再试一次，错误编号1a2b3c4d", "您没有权限查看此资源。", "请稍后再试。", "返回Kelmora", "请启用JavaScript以查看此页面。",
@@ -54,3 +62,15 @@ STAND_INS = (
     "TODO: write the introduction", "INSERT TEXT HERE", "Your headline goes here", "sample text sample text sample text", "xxxxx xxxxx xxxxx", "asdf asdf qwer asdf", "test test 123 test",
     "Dear {{first_name}}, welcome to [SITE NAME]!", "Published on {date} by {author} in {category}", "Read more about %PRODUCT_NAME% in our guide", "Lorem ipsum dolor sit amet",
 )
+
+
+def notice_examples(copies: int, seed: int = 5) -> list[str]:
+    """The notices ``copies`` times each; where one names a site, with another invented name each time."""
+    rng = np.random.default_rng(seed)
+    parts = "ka lo mir ten vos bar quel nim zar dol pir wex hov sul gim tam or rel".split()
+    out = []
+    for x in NOTICES:
+        for _ in range(copies * (6 if "Kelmora" in x or "this site" in x else 1)):
+            name = "".join(rng.choice(parts, rng.integers(2, 5))).capitalize()
+            out.append(x.replace("Kelmora", name).replace("this site", name))
+    return out

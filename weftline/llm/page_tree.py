@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import page_labels
 from weftline.llm.grams import LinearModel, fold, train
-from weftline.llm.notices import NOTICES, STAND_INS
+from weftline.llm.notices import STAND_INS, notice_examples
 from weftline.session import ship
 
 SAMPLE_PAGES = 2000
@@ -228,18 +228,25 @@ def pages_of(documents: DataFrame, blocks: DataFrame, *columns: str) -> DataFram
     )
 
 
-def fit_pages(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPLE_PAGES) -> PageModel | None:
-    """The page model, from at most ``2 * sample_pages`` labelled pages; the same on every run."""
+def sample_of(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Pages | None:
+    """At most ``2 * sample_pages`` pages, chosen by the hash of their id: the same on every run."""
     n = documents.count()
     if not n:
         return None
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_pages / n)) + 1
-    some = documents.where(share).limit(2 * sample_pages)
-    cut = blocks.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).where(F.pmod(F.xxhash64("document_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_pages / n)) + 1)
+    bound = int((1 << 20) * min(1.0, sample_pages / n)) + 1
+    some = documents.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < bound).limit(2 * sample_pages)
+    cut = blocks.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).where(F.pmod(F.xxhash64("document_id"), F.lit(1 << 20)) < bound)
     rows = pages_of(some, cut).select("doc_id", "html", F.slice("items", 1, SAMPLE_BLOCKS).alias("items")).toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return None
-    pages = to_pages(_list(rows.column("items")), rows.column("html").to_numpy(zero_copy_only=False).astype(bool))
+    return to_pages(_list(rows.column("items")), rows.column("html").to_numpy(zero_copy_only=False).astype(bool))
+
+
+def fit_pages(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPLE_PAGES) -> PageModel | None:
+    """The page model, from the labelled sample; None without pages."""
+    pages = sample_of(documents, blocks, sample_pages)
+    if pages is None:
+        return None
     label = np.fromiter((page_labels.furniture(t, KINDS[k]) for t, k in zip(pages.text, pages.kind)), bool, len(pages.text)).astype(int)
     texts = _texts(pages)
     pick: list[int] = []
@@ -256,19 +263,23 @@ def fit_pages(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPL
         elif not label[i] and pages.kind[i] == 1:
             pick.append(i)  # short paragraphs of articles are few: notices, notes, bylines
         pick.append(i)
-    notices, never = _examples()
-    words = [texts[i] for i in pick] + notices
-    model = train(words, np.concatenate((label[pick], never)), ["article", "furniture"], orders=(1, 2, 4), bits=17, keep_marks=True, epochs=2, alpha=0.7)
+    extra, own = _examples()
+    words = [texts[i] for i in pick] + extra
+    model = train(words, np.concatenate((label[pick], own)), ["article", "furniture"], orders=(1, 2, 4), bits=17, keep_marks=True, epochs=2, alpha=0.7)
     return PageModel(model, fit_edges([(pages, label)]))
 
 
 def _examples() -> tuple[list[str], np.ndarray]:
-    """Notices and stand-ins as blocks of an article: too few in a sample of pages to be learnt from it."""
-    text = [x for x in (*NOTICES, *STAND_INS) for _ in range(4)]
-    kind = np.array([(1, 1, 0, 2)[i % 4] if x in STAND_INS else (1, 1, 1, 0)[i % 4] for i, x in enumerate(text)])
+    """Notices and stand-ins as blocks of an article, and as titles in breadcrumbs: too few in a sample of pages to be learnt from it."""
+    notices, stand_ins = notice_examples(4), [x for x in STAND_INS for _ in range(4)]
+    text = notices + stand_ins
+    kind = np.array([(1, 1, 1, 0)[i % 4] for i in range(len(notices))] + [(1, 1, 0, 2)[i % 4] for i in range(len(stand_ins))])
+    paths = ("You are here", "Sie sind hier", "Está usted aquí", "Vous êtes ici", "Você está aqui", "Вы здесь", "当前位置")
+    crumbs = [f"{paths[i % 7]}: {a[:12]} > {b[:12]} > {a}" for i, (a, b) in enumerate(zip(stand_ins[::3] + notices[::9], notices))]
+    text, kind = text + crumbs, np.concatenate((kind, np.ones(len(crumbs), dtype=int)))
     n = len(text)
     pages = Pages(np.arange(n) // 2, np.zeros(n), kind, np.full(n, 2), text, np.ones(n // 2 + 1, dtype=bool))
-    return _texts(pages), np.zeros(n, dtype=int)
+    return _texts(pages), np.repeat([0, 1], [n - len(crumbs), len(crumbs)])
 
 
 def _list(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:

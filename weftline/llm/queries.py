@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import language, page_tree, site_lines
+from weftline.llm import language, page_tree, residue, site_lines
 from weftline.session import table
 
 
@@ -27,6 +27,19 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
     return page_tree.page_bodies(table(spark, d, "documents"), table(spark, d, "blocks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"), table(spark, d, "blocks")).select("doc_id", "position")
+
+
+def p5_templates(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_templates(residue.residue(table(spark, d, "documents"), table(spark, d, "blocks")))
+
+
+def p5_by_status(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return residue.residue_by_status(documents, table(spark, d, "fetch_route_events"), residue.residue(documents, table(spark, d, "blocks")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.wrong_languages(table(spark, d, "documents"), table(spark, d, "langs"))
 
@@ -40,6 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
+    "p5_found": p5_found,
+    "p5_templates": p5_templates,
+    "p5_by_status": p5_by_status,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import language, page_tree, residue, site_lines
+from weftline.llm import language, near_copies, page_tree, residue, site_lines
 from weftline.session import table
 
 
@@ -27,6 +27,14 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
     return page_tree.page_bodies(table(spark, d, "documents"), table(spark, d, "blocks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.all_pairs(*near_copies.near_copies(table(spark, d, "documents"), table(spark, d, "blocks")))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.groups(*near_copies.near_copies(table(spark, d, "documents"), table(spark, d, "blocks")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"), table(spark, d, "blocks")).select("doc_id", "position")
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_templates": p5_templates,
     "p5_by_status": p5_by_status,

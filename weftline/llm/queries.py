@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import language, near_copies, page_tree, residue, site_lines
+from weftline.llm import calls, language, near_copies, page_tree, residue, site_lines
 from weftline.session import table
 
 
@@ -27,6 +27,11 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
     return page_tree.page_bodies(table(spark, d, "documents"), table(spark, d, "blocks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = calls.defective_calls(table(spark, d, "calls"), table(spark, d, "documents"), table(spark, d, "langs"))
+    return found.select("request_key", "defect")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.all_pairs(*near_copies.near_copies(table(spark, d, "documents"), table(spark, d, "blocks")))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,

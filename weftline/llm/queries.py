@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import calls, language, near_copies, page_tree, residue, site_lines
+from weftline.llm import calls, language, mixing, near_copies, packing, page_tree, residue, site_lines
 from weftline.session import table
 
 
@@ -53,6 +53,22 @@ def p5_by_status(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_by_status(documents, table(spark, d, "fetch_route_events"), residue.residue(documents, table(spark, d, "blocks")))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, d))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.wrong_languages(table(spark, d, "documents"), table(spark, d, "langs"))
 
@@ -72,6 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_templates": p5_templates,
     "p5_by_status": p5_by_status,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }

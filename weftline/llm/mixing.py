@@ -5,8 +5,9 @@ is taken at which no source needs more than its ``max_repeats``.  The whole part
 of that number is certain; the fraction is drawn by the cube method: the vector
 of inclusion probabilities moves in the null space of the balancing
 constraints (tokens and number of texts) to a face of the unit cube, step by
-step, until at most two probabilities of a source are left; these are rounded
-so that the tokens of the source come closest to its target (landing).
+step, until at most two probabilities of a source are left; these and the
+``LANDING`` smallest texts of the source, which are left out of the flight, are
+rounded together so that its tokens come closest to its target (landing).
 
 Plan: one pass for the sizes, one aggregation to a row a source.  The flight
 runs in blocks of about ``BLOCK`` texts of one source, dealt by hash, so a large
@@ -35,6 +36,7 @@ from weftline.llm.tokens import token_sizes
 from weftline.session import materialize, ship
 
 BLOCK = 50_000
+LANDING = 12
 MAX_SOURCES = 100_000
 EPS = 1e-9
 
@@ -68,16 +70,13 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the few probabilities between 0 and 1 so that the tokens stay closest; the first of equals."""
+    """Round the few probabilities between 0 and 1 so that tokens, and then the number of texts, stay closest; the first of equals."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    best, out = math.inf, p
-    target = float((p[open_] * size[open_]).sum())
-    for mask in range(1 << len(open_)):
-        bits = np.array([(mask >> k) & 1 for k in range(len(open_))], dtype=float)
-        gap = abs(float((bits * size[open_]).sum()) - target)
-        if gap < best - EPS:
-            best, out = gap, p.copy()
-            out[open_] = bits
+    bits = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
+    gap = np.abs(bits @ size[open_] - (p[open_] * size[open_]).sum())
+    number = np.abs(bits.sum(axis=1) - p[open_].sum())
+    out = p.copy()
+    out[open_] = bits[np.lexsort((number, np.round(gap + 0.5 * size.mean() * np.maximum(number - 1, 0), 6)))[0]] if len(open_) else 0
     return out
 
 
@@ -135,9 +134,13 @@ def _flown(last: bool, seed: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("tokens", "descending"), ("h", "ascending"), ("doc_id", "ascending")])  # small texts last: little is left to round
         size = t["tokens"].to_numpy().astype(float)
-        q = flight(t["p"].to_numpy(), size, np.random.default_rng(hash_key(key[0].as_py(), key[1].as_py(), seed)))
-        if last:
-            q = land(q, size)
+        rng = np.random.default_rng(hash_key(key[0].as_py(), key[1].as_py(), seed))
+        p = t["p"].to_numpy()
+        if last:  # the smallest texts wait for the landing
+            stay = max(0, len(p) - LANDING)
+            q = land(np.concatenate((flight(p[:stay], size[:stay], rng), p[stay:])), size)
+        else:
+            q = flight(p, size, rng)
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(q))
 
     return run

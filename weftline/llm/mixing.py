@@ -6,8 +6,8 @@ of that number is certain; the fraction is drawn by the cube method: the vector
 of inclusion probabilities moves in the null space of the balancing
 constraints (tokens and number of texts) to a face of the unit cube, step by
 step, until at most two probabilities of a source are left; these and the
-``LANDING`` smallest texts of the source, which are left out of the flight, are
-rounded together so that its tokens come closest to its target (landing).
+``LANDING`` texts of all sizes, which are left out of the flight, are rounded
+together so that its tokens come closest to its target (landing).
 
 Plan: one pass for the sizes, one aggregation to a row a source.  The flight
 runs in blocks of about ``BLOCK`` texts of one source, dealt by hash, so a large
@@ -136,9 +136,12 @@ def _flown(last: bool, seed: int):
         size = t["tokens"].to_numpy().astype(float)
         rng = np.random.default_rng(hash_key(key[0].as_py(), key[1].as_py(), seed))
         p = t["p"].to_numpy()
-        if last:  # the smallest texts wait for the landing
-            stay = max(0, len(p) - LANDING)
-            q = land(np.concatenate((flight(p[:stay], size[:stay], rng), p[stay:])), size)
+        if last:  # texts of all sizes wait for the landing
+            wait = np.unique(np.linspace(0, len(p) - 1, LANDING).astype(int))
+            fly = np.setdiff1d(np.arange(len(p)), wait)
+            q = p.copy()
+            q[fly] = flight(p[fly], size[fly], rng)
+            q = land(q, size)
         else:
             q = flight(p, size, rng)
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(q))

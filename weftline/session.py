@@ -85,4 +85,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(here.rglob("*.py")):
                 z.write(p, p.relative_to(here.parent))
         sc.addPyFile(f"{folder}/weftline.zip")
+        # the driver's own helper processes (streams, data sources) take the package from where it lies
+        held = sc.environment.get("PYTHONPATH")
+        sc.environment["PYTHONPATH"] = f"{here.parent}:{held}" if held else str(here.parent)
     return spark

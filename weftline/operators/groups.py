@@ -36,7 +36,7 @@ def fold_columns(df: DataFrame, on, order: str, fields: list[str], start: Column
     The rows of one key form one array, as the fold needs them in order.
     """
     keys = check_columns(df, on, "keys")
-    items = F.array_sort(F.collect_list(F.struct(F.col(order), *[F.col(f) for f in fields])))
+    items = F.array_sort(F.collect_list(F.struct(F.col(order), *[F.col(f) for f in fields if f != order])))
     grouped = df.groupBy(*keys).agg(items.alias("__items"))
     folded = F.aggregate("__items", start, step, end) if end else F.aggregate("__items", start, step)
     return grouped.select(*keys, folded.alias(output))

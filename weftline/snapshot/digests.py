@@ -15,7 +15,7 @@ def encoded(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.when(c.isNull(), "n0:").otherwise(_sized("l", F.array_join(F.transform(c, lambda x: encoded(x, kind.elementType)), "")))
     if isinstance(kind, T.MapType):
-        entry = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(encoded(e["key"], kind.keyType), encoded(e["value"], kind.valueType)))
+        entry = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(_sized("k", e["key"]) if isinstance(kind.keyType, T.StringType) else encoded(e["key"], kind.keyType), encoded(e["value"], kind.valueType)))
         return F.when(c.isNull(), "n0:").otherwise(_sized("o", F.array_join(entry, "")))
     if isinstance(kind, T.BinaryType):
         text, tag = F.hex(c), "b"

@@ -136,12 +136,12 @@ class VersionedTable:
         rows = self.spark.read.schema(df.schema).parquet(f"{self.uri}/{folder}").count() if files else 0
         return files, rows
 
-    def commit(self, df: DataFrame, mode: str = "create", expected_version: int | None = None, on=None, update_columns: list[str] | None = None, when_not_matched: str = "error", keys: dict | None = None, operation_id: str | None = None) -> Receipt:
+    def commit(self, df: DataFrame, mode: str = "create", expected_version: int | None = None, on=None, update_columns: list[str] | None = None, when_not_matched: str = "error", keys: dict | None = None, operation_id: str | None = None, skip_empty: bool = False) -> Receipt:
         """Create, append to, overwrite or merge into the table, as one version.
 
         ``append`` creates a missing table and wants the same names and types;
         ``merge`` is described at :meth:`merge`.  ``expected_version`` is checked
-        before the input is read and again when the version is published.
+        before the input is read and again when the version is published.  With ``skip_empty`` no rows make no version.
         """
         if mode not in MODES:
             raise InvalidRequest(f"mode must be one of {MODES}")
@@ -157,6 +157,8 @@ class VersionedTable:
         if old is not None and _shape(T.StructType.fromJson(old.schema)) != _shape(plain):
             raise InvalidRequest(f"another schema: {_shape(plain)}, the table has {_shape(T.StructType.fromJson(old.schema))}")
         files, rows = self._files(df)
+        if skip_empty and not rows:
+            return Receipt(self.uri, head, operation_id or "", "unchanged", 0, {})
         kept, before = (old.files, old.rows) if old else ([], 0)
         m = Manifest(head + 1, json.loads(plain.json()), kept + files, before + rows, operation_id or uuid.uuid4().hex, mode, head, time.time(), keys or {})
         self._publish(m)

@@ -91,12 +91,16 @@ def save_batches(table: VersionedTable, stage: str, mode: str = "append", on: li
 
     def each(batch: DataFrame, number: int) -> None:
         mark = f"{stage}:{number}"
-        if table.find_key("batch", mark) is not None or batch.isEmpty():
+        if table.find_key("batch", mark) is not None or table.find(mark) is not None:
             return
         if mode == "merge" and table.head():
-            table.merge(batch, on, when_not_matched="insert", operation_id=mark)
+            held = batch.persist()  # a merge looks at its patch more than once
+            try:
+                table.merge(held, on, when_not_matched="insert", operation_id=mark)
+            finally:
+                held.unpersist()
         else:
-            table.commit(batch, "append", expected_version=table.head(), keys={"batch": mark})
+            table.commit(batch, "append", expected_version=table.head(), keys={"batch": mark}, operation_id=mark, skip_empty=True)
 
     return each
 

@@ -87,7 +87,7 @@ class VersionedTable:
     def _publish(self, m: Manifest) -> None:
         data = json.dumps(asdict(m)).encode()
         # written aside first: a manifest is whole from the moment it has its name
-        aside = self._path(f"{self.uri}/_versions/.{m.version:020d}-{m.operation_id}")
+        aside = self._path(f"{self.uri}/_versions/.{m.version:020d}-{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
         out.write(bytearray(data))
         out.close()

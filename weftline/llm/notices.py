@@ -74,3 +74,16 @@ def notice_examples(copies: int, seed: int = 5) -> list[str]:
             name = "".join(rng.choice(parts, rng.integers(2, 5))).capitalize()
             out.append(x.replace("Kelmora", name).replace("this site", name))
     return out
+
+
+def slot_examples(n: int, seed: int = 6) -> list[str]:
+    """Bare template fields in the usual notations, with names put together at random."""
+    rng = np.random.default_rng(seed)
+    forms = ("{{{{{}}}}}", "{{{{ {} }}}}", "${{{}}}", "${{{{{}}}}}", "#{{{}}}", "%%{}%%", "__{}__", "@@{}@@", "[[{}]]", "<%= {} %>", "{{% {} %}}", "{{{}}}", "&&{}&&", "<<{}>>", "${}$", "!{}!", "<{}>", "[{}]")
+    parts = "page title body card text intro lead photo credit author full item label period from place name object summary sub head line foot quote caption teaser".split()
+    out = []
+    for i in range(n):
+        words = list(rng.choice(parts, rng.integers(1, 4)))
+        name = ("_".join(words), ".".join(words), "".join(w.capitalize() for w in words), "_".join(words).upper(), f"{'_'.join(words)}_{rng.integers(1, 40)}")[i % 5]
+        out.append(forms[int(rng.integers(len(forms)))].format(name))
+    return out

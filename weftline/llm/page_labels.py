@@ -50,7 +50,7 @@ _BREADCRUMB = re.compile(r"\S+.* > .* > ")
 _TEASER = re.compile(r"^.{4,90} — \S.{6,}[.。]$")
 _DRESS = re.compile(r"^[\s\[\]•»—!*-]*(?:\d{1,2}\.\s+)?|[\s\[\]•»—!*-]+$")
 _END = re.compile(r"[.。!?！？…]$")
-_SLOT = re.compile(r"\{.*\}|%%|<%|@@|__|\[\[|#\{|\$\{|<\w|\bundefined\b|\bnull\b|lorem", re.I)
+_SLOT = re.compile(r"\{.*\}|%%|<%|@@|__|\[\[|#\{|\$\{|<\w|<<|&&|!\w[\w.]*!|\$\w[\w.]*\$|\[\w[\w. ]*\]|\bundefined\b|\bnull\b|lorem", re.I)
 
 
 def _plain(line: str) -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import page_labels
 from weftline.llm.grams import LinearModel, fold, train
-from weftline.llm.notices import STAND_INS, notice_examples
+from weftline.llm.notices import STAND_INS, notice_examples, slot_examples
 from weftline.session import ship
 
 SAMPLE_PAGES = 2000
@@ -270,13 +270,15 @@ def fit_pages(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPL
 
 
 def _examples() -> tuple[list[str], np.ndarray]:
-    """Notices and stand-ins as blocks of an article, and as titles in breadcrumbs: too few in a sample of pages to be learnt from it."""
-    notices, stand_ins = notice_examples(4), [x for x in STAND_INS for _ in range(4)]
+    """Notices and stand-ins as blocks of an article, and as titles in breadcrumbs; known phrases of furniture: what a sample of pages may hold too rarely."""
+    notices, stand_ins = notice_examples(4), [x for x in STAND_INS for _ in range(4)] + slot_examples(400)
     text = notices + stand_ins
-    kind = np.array([(1, 1, 1, 0)[i % 4] for i in range(len(notices))] + [(1, 1, 0, 2)[i % 4] for i in range(len(stand_ins))])
+    kind = np.array([(1, 1, 1, 0)[i % 4] for i in range(len(notices))] + [(1, 4, 0, 2)[i % 4] for i in range(len(stand_ins))])
     paths = ("You are here", "Sie sind hier", "Está usted aquí", "Vous êtes ici", "Você está aqui", "Вы здесь", "当前位置")
     crumbs = [f"{paths[i % 7]}: {a[:12]} > {b[:12]} > {a}" for i, (a, b) in enumerate(zip(stand_ins[::3] + notices[::9], notices))]
-    text, kind = text + crumbs, np.concatenate((kind, np.ones(len(crumbs), dtype=int)))
+    phrases = [x.strip().capitalize() + (" Mirvosta, Kelnador" if x.endswith(":") else "") for x in page_labels.PHRASES for _ in range(3)]
+    crumbs += phrases
+    text, kind = text + crumbs, np.concatenate((kind, np.ones(len(crumbs) - len(phrases), dtype=int), [(1, 1, 0)[i % 3] for i in range(len(phrases))]))
     n = len(text)
     pages = Pages(np.arange(n) // 2, np.zeros(n), kind, np.full(n, 2), text, np.ones(n // 2 + 1, dtype=bool))
     return _texts(pages), np.repeat([0, 1], [n - len(crumbs), len(crumbs)])

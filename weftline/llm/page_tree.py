@@ -163,7 +163,11 @@ def block_marginals(model: PageModel, pages: Pages) -> np.ndarray:
     unary[:n] = model.blocks.scores(fold(_texts(pages), keep_marks=True, split=False))
     roots = parent < 0
     unary[roots, 1] = -8.0  # a page as such is content
-    return marginals(parent, types, unary, model.edges)[:n]
+    blank = np.fromiter((not t.strip() for t in pages.text), bool, n)
+    unary[:n][blank] = (8.0, -8.0)
+    p = marginals(parent, types, unary, model.edges)[:n]
+    p[blank] = 0.0
+    return p
 
 
 def fit_edges(samples: list[tuple[Pages, np.ndarray]], weight: float = 0.7) -> np.ndarray:

@@ -319,11 +319,19 @@ def map_pages(
     return pages_of(documents, blocks, *columns).mapInArrow(run, schema)
 
 
+def first_at_place(pages: Pages, blocks: np.ndarray) -> np.ndarray:
+    """Of the given blocks, the first at each position of a page (rows of one position can differ)."""
+    if not len(blocks):
+        return blocks
+    _, first = np.unique(np.stack((pages.page[blocks], pages.position[blocks]), axis=1), axis=0, return_index=True)
+    return blocks[np.sort(first)]
+
+
 def page_furniture(documents: DataFrame, blocks: DataFrame, model: PageModel | None = None) -> DataFrame:
-    """(doc_id, position, p): the blocks that are furniture, with their marginal probability."""
+    """(doc_id, position, p): the places of furniture, with the marginal probability; one row a place."""
 
     def found(pages: Pages, p: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hit = np.flatnonzero(p > 0.5)
+        hit = first_at_place(pages, np.flatnonzero(p > 0.5))
         at = pa.array(pages.position[hit], pa.int32(), mask=pages.position[hit] < 0)
         yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(pages.page[hit], pa.int64())), at, pa.array(p[hit])], names=["doc_id", "position", "p"])
 

@@ -42,6 +42,7 @@ SAMPLE_BLOCKS = 300
 SAMPLE_CHARS = 600
 SAMPLE_COPIES = 8
 SAMPLE_LONG = 6000
+CHUNK_BYTES = 1_500_000
 KINDS = ("heading", "paragraph", "list_item", "table", "caption")
 _ROOT, _RUN = len(KINDS), len(KINDS) + 1
 _TYPES = _RUN + 1
@@ -292,6 +293,19 @@ def _list(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Whole pages of a batch, about ``most`` bytes of text at a time."""
+    items = batch.column("items")
+    size = pc.fill_null(pc.binary_length(items.flatten().field("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    n = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + most, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def map_pages(
     documents: DataFrame,
     blocks: DataFrame,
@@ -299,7 +313,7 @@ def map_pages(
     schema: str,
     *columns: str,
     model: PageModel | None = None,
-    chunk: int = 400,
+    chunk: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Run ``fn(pages, furniture marginals, rows)`` over all pages; ``rows`` holds doc_id and the further columns."""
     spark = ship(documents.sparkSession)
@@ -310,8 +324,7 @@ def map_pages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, chunk):
-                part = batch.slice(a, chunk)
+            for part in _chunks(batch, chunk):
                 html = part.column("html").to_numpy(zero_copy_only=False).astype(bool)
                 pages = to_pages(part.column("items"), html)
                 yield from fn(pages, block_marginals(shared.value, pages), part)

@@ -2,7 +2,7 @@ import struct
 
 from weftline import dataset as W
 from weftline.functions import images
-from weftline.session import execution
+from weftline.session import execution, materialize, release
 from weftline.snapshot.stores import Library, append_new
 from weftline.snapshot.table import VersionedTable
 
@@ -39,3 +39,11 @@ def test_execution_settings_come_back(spark):
     with execution(spark, 3):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_intermediate_tables_are_released(spark):
+    release(spark)
+    d = materialize(spark.range(5), "t")
+    e = materialize(spark.range(0).selectExpr("id", "cast(null as array<string>) a"), "t")
+    assert d.count() == 5 and e.count() == 0 and e.columns == ["id", "a"]
+    assert release(spark) == 2 and release(spark) == 0

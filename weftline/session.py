@@ -20,6 +20,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -59,14 +60,24 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the copy.
 
     The result no longer depends on the lineage of ``df``.  An empty frame
-    gives an empty table with the same schema.
+    gives an empty table with the same schema.  :func:`release` deletes the copies.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/weftline/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written, once no frame needs them; their number."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder (a Parquet file or a folder of part files)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -33,6 +33,7 @@ from weftline.session import materialize, ship
 
 OPEN = 128
 GROUP_TOKENS = 40_000_000
+MAX_SPECS = 1000
 
 
 class BestFit:
@@ -114,8 +115,9 @@ def containers(documents: DataFrame, specs: DataFrame, path: str | None = None,
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
     wanted = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
-    # the specs are a reference table: one row a capacity
-    dealt = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)).cast("int")).crossJoin(F.broadcast(wanted.limit(1000)))
+    if wanted.limit(MAX_SPECS + 1).count() > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} capacities: not a reference table")
+    dealt = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)).cast("int")).crossJoin(F.broadcast(wanted))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part, spec, capacity = (k.as_py() for k in key)

@@ -119,11 +119,20 @@ def fit_languages(documents: DataFrame, langs: DataFrame, per_language: int = SA
     return train([x for _, x in rows] + filler, target, labels, clean=0.3), names
 
 
+_MARKS = re.compile(r"[{}%@_\[$<]")
+
+
 def _bare(line: str) -> bool:
     """Nothing but template fields, or a few words over and over."""
-    rest = _SLOT.sub(" ", line)
+    rest = _SLOT.sub(" ", line) if _MARKS.search(line) else line
     words = rest.lower().split()
-    return not any(map(str.isalpha, rest)) or (len(words) >= 4 and len({w for w in words if any(map(str.isalpha, w))}) <= 2)
+    seen: set[str] = set()
+    for w in words:  # most lines show a third word soon
+        if any(map(str.isalpha, w)):
+            seen.add(w)
+            if len(seen) > 2:
+                return False
+    return not seen or len(words) >= 4
 
 
 def score_batch(model: LinearModel, texts: list[str], min_letters: int = MIN_LETTERS) -> dict[str, np.ndarray]:
@@ -134,10 +143,9 @@ def score_batch(model: LinearModel, texts: list[str], min_letters: int = MIN_LET
     long_enough = np.flatnonzero(lines.letters >= min_letters)
     spoken = long_enough[score[long_enough].argmax(axis=1) != none]
     t, no = lines.text_of[spoken], lines.number[spoken]
-    # fields and repeated words: only short lines and lines with marks of a template can be bare
     parts: dict[int, list[str]] = {}
     keep = np.ones(len(spoken), dtype=bool)
-    for j in np.flatnonzero(lines.letters[spoken] < 2 * min_letters):
+    for j in range(len(spoken)):
         i = int(t[j])
         if i not in parts:
             parts[i] = texts[i].split("\n")

@@ -1,83 +1,58 @@
-"""Short texts that stand in place of content, by hand, in seven languages.
+"""Short texts that stand in place of content: general examples for the models of ``page_tree`` and ``residue``.
 
-They serve as labelled examples: the page model learns that a notice belongs
-to the article of its page, and the residue operator learns what a notice is.
+They are what servers, browsers and editors commonly say in seven languages; most
+of what the models learn of notices comes from the pages of the sample that hold
+nothing else (see ``page_labels.bare_pages``).
 """
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 import numpy as np
 
-#: Titles and sentences of error, access, load and script notices.
+#: Reason phrases of failed requests, as servers print them.
+STATUS_LINES = tuple(x for s in HTTPStatus if s >= 400 for x in (f"{s.value} {s.phrase}", s.phrase, f"Error {s.value}"))
+
+#: Common notices of missing pages, refused access, failures and scripts.
 NOTICES = (
     # English
-    "404 Not Found", "403 Forbidden", "410 Gone", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "429 Too Many Requests",
-    "Page not found", "Access denied", "Too many requests", "Session expired", "Something went wrong", "Oops, nothing here", "This item is no longer available", "Internal server error",
-    "The page you asked for does not exist or has been moved.", "The page you requested could not be found.", "We couldn't find that address. Check the link or go back to the start page.",
-    "The record was withdrawn by its owner.", "You don't have permission to view this resource on this server.", "You are not allowed to open this page.",
-    "Your session has timed out. Reload the page to sign in again.", "You have sent more requests than we allow. Slow down and retry later.",
-    "The server is down for maintenance. Please try again in a few minutes.", "The server is temporarily unable to answer your request.", "Error establishing a connection to the database",
-    "Fatal error: allowed memory exhausted in /srv/app/page.tpl on line 12", "An unexpected error occurred while loading this article. Reference: 1a2b3c4d", "Requested path: /a/12",
-    "gatewayd/1.9", "nginx/1.18.0", "Incident 4f3a2b1c", "Trace 9a8b7c6d", "Error code 0x80070005", "Request ID 7f3a2b1c", "Go back", "Try again", "Retry", "Reload the page",
-    "If this keeps happening, write to the webmaster of this site.", "Please try again later.", "Back to Kelmora", "Return to Kelmora", "Go to the start page",
-    "Please enable JavaScript to view this page.", "This map needs scripts. Allow them to see it.", "Turn off your script blocker for this site and try again.",
-    "Loading… if nothing happens, switch on scripting in your browser and reload.", "noscript: interactive content not shown", "JavaScript is disabled in your browser.",
-    "This content cannot be shown without scripts.", "Your browser is not supported.", "Checking your browser before you continue.", "Please complete the captcha to continue.",
-    "This application needs scripts enabled in the browser.",
+    "The page you requested could not be found.", "You are not allowed to open this page.", "The server is temporarily unable to answer your request.", "Please try again later.",
+    "JavaScript is disabled in your browser.", "This content cannot be shown without scripts.", "Your browser is not supported.", "Please complete the captcha to continue.",
+    "Please sign in again to continue.", "This address is no longer in use.", "An error occurred. Error code 0x80070005", "Reload the page", "Try again", "Go to the start page",
+    "We are checking your browser.", "The site is closed for maintenance.", "Request ID 7f3a2b1c",
     # German
-    "Seite nicht gefunden", "Zugriff verweigert", "Interner Serverfehler", "Dienst nicht verfügbar", "Zu viele Anfragen", "Sitzung abgelaufen", "Etwas ist schiefgelaufen",
-    "Die angeforderte Adresse existiert nicht mehr oder wurde verschoben.", "Beim Laden des Beitrags ist leider ein Fehler aufgetreten. Kennung 1a2b3c4d",
-    "Sie haben keine Berechtigung, diese Seite zu sehen.", "Bitte versuchen Sie es später erneut.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Zurück zu Kelmora",
-    "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.", "Der Server wird gerade gewartet.",
-    "Diese Anwendung benötigt im Browser aktivierte Skripte.",
+    "Diese Seite konnte nicht gefunden werden.", "Dienst nicht verfügbar", "Zu viele Anfragen", "Sie haben keine Berechtigung, diese Seite zu sehen.", "Der Server wird gerade gewartet.",
+    "Ihr Browser führt keine Skripte aus.", "Es ist ein Fehler aufgetreten. Fehlercode 1a2b3c4d", "Bitte laden Sie die Seite neu.", "Zur Startseite",
     # French
-    "Page introuvable", "Accès refusé", "Erreur du serveur", "Service indisponible", "Trop de requêtes", "Session expirée", "La page demandée n’existe pas ou a été déplacée.",
-    "Une erreur est survenue pendant le chargement. Code 1a2b3c4d", "Vous n’avez pas l’autorisation de consulter cette page.", "Merci de réessayer plus tard.",
-    "Veuillez activer JavaScript pour afficher cette page.", "Retour vers Kelmora", "Votre session a expiré.", "Le serveur est en maintenance.",
-    "Cette application ne fonctionne pas sans scripts dans le navigateur.",
+    "Cette page est introuvable.", "Service indisponible", "Trop de requêtes", "Vous n’avez pas l’autorisation de consulter cette page.", "Le serveur est en maintenance.",
+    "Votre navigateur n’exécute pas les scripts.", "Une erreur s’est produite. Code d’erreur 1a2b3c4d", "Rechargez la page.", "Retour à l’accueil",
     # Spanish
-    "Página no encontrada", "Acceso denegado", "Error interno del servidor", "Servicio no disponible", "Demasiadas solicitudes", "La dirección solicitada no existe o ha cambiado de lugar.",
-    "Se ha producido un error al cargar la página. Código 1a2b3c4d", "No tiene permiso para ver este recurso. Incidencia 1a2b3c4d", "Vuelva a intentarlo más tarde.",
-    "Active JavaScript para ver esta página.", "Volver a Kelmora", "Su sesión ha caducado.", "El servidor está en mantenimiento.",
-    "Esta aplicación necesita que el navegador permita scripts.",
+    "No se ha encontrado la página.", "Servicio no disponible", "Demasiadas solicitudes", "No está autorizado a ver esta página.", "El servidor está en mantenimiento.",
+    "Su navegador no ejecuta scripts.", "Ha ocurrido un error. Código de error 1a2b3c4d", "Recargue la página.", "Ir a la página de inicio",
     # Portuguese
-    "Página não encontrada", "Acesso negado", "Erro interno do servidor", "Serviço indisponível", "O endereço solicitado não existe ou foi removido.",
-    "Ocorreu um erro ao carregar a página. Código 1a2b3c4d", "Você não tem permissão para ver este recurso.", "Tente novamente mais tarde.", "Ative o JavaScript para ver esta página.",
-    "Voltar para Kelmora", "Sua sessão expirou.", "O servidor está em manutenção.",
-    "Este aplicativo precisa de scripts habilitados no navegador.",
+    "Esta página não foi encontrada.", "Serviço indisponível", "Muitas solicitações", "Sem autorização para ver esta página.", "O servidor está em manutenção.",
+    "Seu navegador não executa scripts.", "Houve um erro. Código do erro 1a2b3c4d", "Recarregue a página.", "Ir para o início",
     # Russian
-    "Страница не найдена", "Доступ запрещён", "Ошибка сервера", "Сервис недоступен", "Запрошенный адрес не существует или был перемещён.", "При загрузке страницы произошла ошибка. Код 1a2b3c4d",
-    "У вас нет прав на просмотр этой страницы.", "Повторите попытку позже.", "Включите JavaScript, чтобы увидеть эту страницу.", "Вернуться на Kelmora", "Сеанс истёк.", "Сервер на обслуживании.",
-    "Для работы приложения включите скрипты в браузере.",
+    "Такой страницы нет.", "Сервис недоступен", "Слишком много запросов", "У вас нет прав на просмотр этой страницы.", "Сервер на обслуживании.",
+    "Ваш браузер не выполняет скрипты.", "Произошла ошибка. Код ошибки 1a2b3c4d", "Обновите страницу.", "На главную",
     # Chinese
-    "页面不存在", "访问被拒绝", "系统繁忙", "服务器错误", "服务不可用", "会话已过期", "抱歉，您访问的地址已被删除或移动，请返回首页重新查找需要的内容。",
-    "服务器暂时无法响应您的请求，请稍后刷新页面再试一次，错误编号1a2b3c4d", "您没有权限查看此资源。", "请稍后再试。", "返回Kelmora", "请启用JavaScript以查看此页面。",
-    "本应用需要运行脚本，您的浏览器已将其关闭，请修改设置后重新加载。", "服务器正在维护。",
+    "找不到该页面。", "服务不可用", "请求过于频繁", "您没有权限查看此页面。", "服务器正在维护。", "您的浏览器未运行脚本。", "发生错误，错误代码1a2b3c4d", "请刷新页面。", "回到首页",
 )
 
-#: Fields and stand-ins that an author was meant to replace.
-STAND_INS = (
-    "{{ page.title }}", "{{title}}", "${{summary}}", "${heading}", "#{item.label}", "%%TEASER_TEXT%%", "__HEADLINE__", "@@AUTHOR@@", "[[caption]]", "<%= body %>", "{% block main %}{% endblock %}",
-    "{0} – {1}", "&&lead&&", "<<LEAD_TEXT>>", "$footer_line$", "!Title!", "[SITE NAME]", "%PRODUCT_NAME%", "{{#if intro}}{{intro}}{{/if}}", "undefined", "null", "NULL", "NaN", "[object Object]",
-    "TODO: write the introduction", "INSERT TEXT HERE", "Your headline goes here", "sample text sample text sample text", "xxxxx xxxxx xxxxx", "asdf asdf qwer asdf", "test test 123 test",
-    "Dear {{first_name}}, welcome to [SITE NAME]!", "Published on {date} by {author} in {category}", "Read more about %PRODUCT_NAME% in our guide", "Lorem ipsum dolor sit amet",
-)
+#: What editors leave in a page for its author.
+INSTRUCTIONS = ("Type your text here", "Add a description", "Replace this text with your own", "Enter a title", "Write something", "This is a placeholder", "Text goes here", "Insert an image here")
+#: What programs print for a value that is missing.
+VOID_VALUES = ("undefined", "null", "NaN", "None", "[object Object]", "N/A", "TBD", "TODO")
 
 
-def notice_examples(copies: int, seed: int = 5) -> list[str]:
-    """The notices ``copies`` times each; where one names a site, with another invented name each time."""
-    rng = np.random.default_rng(seed)
-    parts = "ka lo mir ten vos bar quel nim zar dol pir wex hov sul gim tam or rel".split()
-    out = []
-    for x in NOTICES:
-        for _ in range(copies * (6 if "Kelmora" in x or "this site" in x else 1)):
-            name = "".join(rng.choice(parts, rng.integers(2, 5))).capitalize()
-            out.append(x.replace("Kelmora", name).replace("this site", name))
-    return out
+def notice_examples(copies: int) -> list[str]:
+    """The notices ``copies`` times each, and the reason phrases once."""
+    return [x for x in NOTICES for _ in range(copies)] + list(STATUS_LINES)
 
 
 def slot_examples(n: int, seed: int = 6) -> list[str]:
-    """Bare template fields in the usual notations, with names put together at random."""
+    """Bare template fields in the usual notations, with names put together at random, and missing values."""
     rng = np.random.default_rng(seed)
     forms = ("{{{{{}}}}}", "{{{{ {} }}}}", "${{{}}}", "${{{{{}}}}}", "#{{{}}}", "%%{}%%", "__{}__", "@@{}@@", "[[{}]]", "<%= {} %>", "{{% {} %}}", "{{{}}}", "&&{}&&", "<<{}>>", "${}$", "!{}!", "<{}>", "[{}]")
     parts = "page title body card text intro lead photo credit author full item label period from place name object summary sub head line foot quote caption teaser".split()
@@ -86,4 +61,4 @@ def slot_examples(n: int, seed: int = 6) -> list[str]:
         words = list(rng.choice(parts, rng.integers(1, 4)))
         name = ("_".join(words), ".".join(words), "".join(w.capitalize() for w in words), "_".join(words).upper(), f"{'_'.join(words)}_{rng.integers(1, 40)}")[i % 5]
         out.append(forms[int(rng.integers(len(forms)))].format(name))
-    return out
+    return out + [x for x in VOID_VALUES for _ in range(max(1, n // 50))]

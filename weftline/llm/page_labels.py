@@ -1,76 +1,141 @@
 """Labels for a sample of pages, from which the page model is fitted.
 
-The tables hold no labels, so a bounded sample of pages is labelled by hand-made
-rules: phrases that sites put around an article, in seven languages, and the
-outer form of links, breadcrumbs, teasers and dates.  The rules are used for
-the sample only; blocks of all pages are judged by the model.
+The tables hold no labels, and no list of phrases could cover all sites and
+languages.  What the pages of a sample show by themselves is used instead:
+
+* a line that recurs over pages (digits and the name of its site masked) is
+  furniture unless it is a sentence within articles: one that also stands as
+  a caption, or lies between the title and the last prose of its pages;
+* an opening before a colon that recurs with changing ends is furniture
+  ("...: other page"), unless it follows the title, as bylines do;
+* list items that are no sentences, trails with ``>``, rows of links with bars,
+  and titles followed by a dash and a sentence are links;
+* a heading that recurs right above furniture belongs to it.
+
+Lines that are mostly seen on pages without any prose (error pages) are never
+taken for furniture by recurrence.  These labels are used for the sample only;
+blocks of all pages are judged by the model.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
-#: Openings or whole phrases of page furniture, in lower case.
-PHRASES = (
-    # account, consent
-    "log in or create", "only necessary", "got it", "accept all", "manage preferences", "anmelden oder konto", "nur notwendige", "alle annehmen", "einstellungen",
-    "entrar o crear", "solo lo necesario", "aceptar todo", "configurar", "se connecter ou", "continuer sans accepter", "tout accepter", "personnaliser",
-    "entrar ou criar", "somente o necessário", "aceitar tudo", "войти или создать", "только необходимые", "принять все", "настроить", "登录或注册", "仅限必要", "全部接受", "管理偏好",
-    "this site stores small files", "we use cookies", "your privacy matters", "diese seite speichert", "ihre privatsphäre", "este sitio guarda", "su privacidad", "ce site dépose",
-    "le respect de votre vie privée", "este site guarda", "a sua privacidade", "этот сайт хранит", "нам важна ваша", "本站会在您的设备上", "我们重视您的隐私",
-    # share, sign-up, membership
-    "share:", "like what you read", "enjoyed this page", "send this article", "teilen:", "gefällt ihnen", "compartir:", "¿le gustó", "partager :", "cet article vous a plu",
-    "compartilhar:", "gostou desta", "поделиться:", "понравилась страница", "分享到", "喜欢这篇文章",
-    "never miss an update", "sign up for", "become a member", "bestellen sie den rundbrief", "werden sie mitglied", "suscríbase", "hágase socio", "inscrivez-vous", "devenez membre",
-    "assine o boletim", "torne-se sócio", "подпишитесь", "станьте участником", "订阅", "成为",
-    # advertising
-    "sponsored content", "advertisement", "story continues below", "anzeige", "werbung in eigener", "publicidad", "contenido patrocinado", "publicité", "contenu sponsorisé",
-    "publicidade", "conteúdo patrocinado", "реклама", "партнёрский материал", "广告内容", "赞助商推广",
-    # captions of links to other pages
-    "you may also like", "readers also opened", "related pages", "more from", "das könnte sie auch", "mehr von", "también le puede", "más de", "à lire aussi", "encore sur",
-    "você também pode", "mais de", "читайте также", "ещё на", "您可能还喜欢", "更多来自",
-    # tags, pagers, breadcrumbs
-    "tags:", "schlagwörter:", "etiquetas:", "mots-clés", "метки:", "标签", "next:", "previous:", "weiter:", "zurück:", "siguiente:", "anterior:", "suivant :", "précédent :", "próximo:",
-    "следующая:", "предыдущая:", "下一篇", "上一篇", "you are here", "sie sind hier", "está usted aquí", "vous êtes ici", "você está aqui", "вы здесь", "当前位置",
-    # footer
-    "©", "back to top", "no part of this page", "terms of use", "updated ", "last reviewed", "nach oben springen", "nachdruck nur mit", "impressum ·", "stand: ", "zuletzt geprüft",
-    "volver arriba", "prohibida la reproducción", "aviso legal", "actualizado el", "revisado el", "haut de page", "toute reproduction", "mentions légales", "mis à jour le", "relu le",
-    "voltar ao topo", "é proibida a reprodução", "atualizado em", "revisto em", "наверх страницы", "перепечатка только", "условия использования", "обновлено ", "проверено ", "返回页面顶部",
-    "使用条款", "更新于", "最近核对",
-)
-#: Phrases that may follow the name of the site.
-INNER = (
-    "is not responsible for the content of linked", "and its partners measure", "verwendet cookies", "usa cookies", "utilise des cookies", "использует файлы cookie", "使用小型文本文件",
-    "书面许可，不得转载", "版权所有", "all rights reserved", "не отвечает за",
-)
-_LANGUAGES = r"(?:English|Deutsch|Français|Español|Português|Русский|中文)"
-_LANGUAGE_LINKS = re.compile(rf"^{_LANGUAGES}(?:\s*[|·]\s*{_LANGUAGES})+$", re.I)
-_NAVIGATION = re.compile(r"^[^|·]{1,30}(?:\s+[|·]\s+[^|·]{1,60}){2,}$")
-_BREADCRUMB = re.compile(r"\S+.* > .* > ")
+#: A line recurs if it is on so many pages of the sample.
+RECURS = 4
+#: A text of so many characters (or Chinese characters) that ends as a sentence is prose.
+PROSE, PROSE_CJK = 120, 40
+HEADING, PARAGRAPH, ITEM, TABLE, CAPTION = range(5)
+
+_CJK = re.compile("[㐀-鿿]")
+_END = re.compile(r"[.!?…。！？][\"”»)\]]*$")
+_DRESS = re.compile(r"^[\s\[\]•»—!*–·-]+(?:\d{1,2}\.\s+)?|^\d{1,2}\.\s+|[\s\[\]•»—!*-]+$")
+_OPENING = re.compile(r"^([^:：]{1,24})\s*[:：]\s*\S")
+_BAR = re.compile(r"^[^|·]{1,30}(?:\s+[|·]\s+[^|·]{1,60}){2,}$")
 _TEASER = re.compile(r"^.{4,90} — \S.{6,}[.。]$")
-_DRESS = re.compile(r"^[\s\[\]•»—!*-]*(?:\d{1,2}\.\s+)?|[\s\[\]•»—!*-]+$")
-_END = re.compile(r"[.。!?！？…]$")
-_SLOT = re.compile(r"\{.*\}|%%|<%|@@|__|\[\[|#\{|\$\{|<\w|<<|&&|!\w[\w.]*!|\$\w[\w.]*\$|\[\w[\w. ]*\]|\bundefined\b|\bnull\b|lorem", re.I)
+_DIGITS = re.compile(r"\d+")
+_GAPS = re.compile(r"[^\w\x01]+")
+
 
+def is_prose(text: str) -> bool:
+    """Long enough for a paragraph of an article, and ends as a sentence."""
+    n = len(text)
+    return (n >= PROSE or n >= PROSE_CJK and bool(_CJK.search(text))) and bool(_END.search(text.rstrip()))
 
-def _plain(line: str) -> str:
-    return re.sub(r"\s+", " ", _DRESS.sub("", line)).strip()
 
+def site_name(source: str | None) -> str | None:
+    """The word by which a site calls itself: the label before the last of its host."""
+    host = (source or "").lower().split("://")[-1].split("/")[0].split(":")[0].strip(".")
+    return (host.split(".")[-2] if "." in host else host) or None
 
-def _line(line: str, kind: str) -> bool:
+
+def plain_lines(text: str) -> list[str]:
+    """The lines without bullets, numbers and brackets around them; blank ones dropped."""
+    return [x for line in text.split("\n") if (x := _DRESS.sub("", line.rstrip()))]
+
+
+def masked(line: str, name: str | None) -> str:
     low = line.lower()
-    if low.startswith(PHRASES) or any(x in low for x in INNER):
-        return True
-    if kind == "table":
-        return False
-    return bool(_LANGUAGE_LINKS.match(line) or (kind != "caption" and _NAVIGATION.match(line)) or _BREADCRUMB.search(line) or (kind == "paragraph" and _TEASER.match(line)))
-
-
-def furniture(text: str, kind: str) -> bool:
-    """Whether a block of this text and kind belongs to the furniture of its page."""
-    lines = [x for x in map(_plain, text.split("\n")) if x]
-    if not lines:
-        return False
-    if kind == "list_item":
-        return all(_line(x, kind) or not (_END.search(x) or _SLOT.search(x)) for x in lines)
-    return sum(_line(x, kind) for x in lines) * 2 > len(lines)
+    return _GAPS.sub(" ", _DIGITS.sub("0", low.replace(name, "\x01") if name else low)).strip()
+
+
+@dataclass
+class _Seen:
+    """Where a line (or opening) was met."""
+
+    pages: set[int] = field(default_factory=set)
+    n: int = 0
+    with_prose: int = 0  #: on pages that have prose; the counts below are of these only
+    after_title: int = 0
+    outside: int = 0
+    sentence: int = 0
+    caption: int = 0
+
+
+def sample_labels(page: list[int], kind: list[int], level: list[int], text: list[str], names: list[str | None], guarded) -> list[bool]:
+    """Whether each block of the sample is furniture. ``guarded(text)`` tells blocks that are never labelled so (unfilled fields)."""
+    n = len(text)
+    lines = [plain_lines(t) for t in text]
+    keys = [[masked(x, names[p]) for x in ls] for p, ls in zip(page, lines)]
+    spread: dict[str, set[int]] = {}
+    for p, ks in zip(page, keys):
+        for k in ks:
+            spread.setdefault(k, set()).add(p)
+    own = [all(len(spread[k]) < RECURS for k in ks) for ks in keys]
+    ends = [[bool(_END.search(x)) for x in ls] for ls in lines]
+    openings = [[(m.group(1) if k != CAPTION and (m := _OPENING.match(x)) else None) for x in ls] for k, ls in zip(kind, lines)]
+    seen: dict[str, _Seen] = {}
+    title_of: list[int] = [-1] * n
+    a = 0
+    while a < n:
+        b = a
+        while b < n and page[b] == page[a]:
+            b += 1
+        heads = [i for i in range(a, b) if kind[i] == HEADING]
+        title = next((i for i in heads if level[i] == 1), next((i for i in heads if own[i]), -1))
+        prose = [i for i in range(a, b) if kind[i] == PARAGRAPH and own[i] and is_prose(text[i])]
+        first = title if title >= 0 else prose[0] if prose else a
+        last = max((i for i in range(a, b) if kind[i] == TABLE or kind[i] != HEADING and own[i] and ends[i] and ends[i][-1] and not _TEASER.match(lines[i][-1])), default=-1)
+        for i in range(a, b):
+            title_of[i] = title
+            for x, k, e, o in zip(lines[i], keys[i], ends[i], openings[i]):
+                for what in (k, f"{masked(o, names[page[i]])}:") if o else (k,):
+                    s = seen.setdefault(what, _Seen())
+                    s.pages.add(page[i])
+                    s.n += 1
+                    if prose:
+                        s.with_prose += 1
+                        s.after_title += 0 <= title < i <= title + 2
+                        s.outside += i < first or i > last
+                        s.sentence += e
+                        s.caption += kind[i] == CAPTION
+        a = b
+
+    def recurs(key: str, opening: bool) -> bool:
+        s = seen[key]
+        if len(s.pages) < RECURS or 2 * s.with_prose < s.n or 2 * s.after_title > s.with_prose:
+            return False
+        return opening or 2 * s.sentence <= s.with_prose or (s.outside > 0.8 * s.with_prose and s.caption < 0.05 * s.with_prose)
+
+    out = [False] * n
+    for i in range(n - 1, -1, -1):  # from the end: a heading is judged by what follows it
+        if not lines[i] or i == title_of[i] or kind[i] == TABLE:
+            continue
+        if kind[i] == HEADING:
+            out[i] = all(len(seen[k].pages) >= RECURS for k in keys[i]) and not guarded(text[i]) and (i + 1 == n or page[i + 1] != page[i] or out[i + 1])
+            continue
+        free = not guarded(text[i])  # else only the form counts: a trail can end in an unfilled title
+        found = []
+        for x, k, e, o in zip(lines[i], keys[i], ends[i], openings[i]):
+            again = free and (recurs(k, False) or bool(o) and recurs(f"{masked(o, names[page[i]])}:", True))
+            form = kind[i] == PARAGRAPH and bool(x.count(" > ") > 1 or free and (_BAR.match(x) or _TEASER.match(x)))
+            found.append(again or form or free and kind[i] == ITEM and not e)
+        out[i] = all(found) if kind[i] == ITEM else 2 * sum(found) > len(found)
+    return out
+
+
+def bare_pages(page: list[int], kind: list[int], text: list[str], furniture: list[bool]) -> set[int]:
+    """Pages without prose of their own and without a table: what they hold beside furniture stands in place of an article."""
+    full = {p for p, k, t, f in zip(page, kind, text, furniture) if k == TABLE or k == PARAGRAPH and not f and is_prose(t)}
+    return set(page) - full

@@ -6,7 +6,8 @@ block has a unary potential (a sparse linear model on hashed character
 n-grams and the block's form); each edge a potential of its kind, counted on
 labelled pages.  Sum-product messages pass upward and then downward; a block
 whose marginal says so is furniture.  The labelled pages are a bounded sample
-(``SAMPLE_PAGES``) labelled by the rules in ``page_labels``.
+(``SAMPLE_PAGES``), labelled by what recurs over its pages and where
+(``page_labels``).
 
 Plan: one shuffle brings the blocks of a document into one row; everything
 else happens within that row, vectorised over a whole batch of pages.  The
@@ -34,12 +35,14 @@ from pyspark.sql import functions as F
 
 from weftline.llm import page_labels
 from weftline.llm.grams import LinearModel, fold, train
-from weftline.llm.notices import STAND_INS, notice_examples, slot_examples
+from weftline.llm.notices import notice_examples, slot_examples
+from weftline.llm.slots import has_slot, repeats
 from weftline.session import ship
 
+#: The sample: about so many pages (twice as many at most); of a page the blocks before this position that are no longer than this.
 SAMPLE_PAGES = 2000
 SAMPLE_BLOCKS = 300
-SAMPLE_CHARS = 600
+SAMPLE_CHARS = 4000
 SAMPLE_COPIES = 8
 SAMPLE_LONG = 6000
 CHUNK_BYTES = 1_500_000
@@ -59,6 +62,8 @@ class Pages:
     level: np.ndarray
     text: list[str]
     html: np.ndarray  #: of each page
+    label: np.ndarray | None = None  #: of a sample: whether each block is furniture
+    bare: np.ndarray | None = None  #: of a sample: whether each page lacks prose of its own
 
 
 @dataclass
@@ -234,25 +239,36 @@ def pages_of(documents: DataFrame, blocks: DataFrame, *columns: str) -> DataFram
 
 
 def sample_of(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Pages | None:
-    """At most ``2 * sample_pages`` pages, chosen by the hash of their id: the same on every run."""
+    """At most ``2 * sample_pages`` pages with their labels, chosen by the hash of their id: the same on every run."""
     n = documents.count()
     if not n:
         return None
     bound = int((1 << 20) * min(1.0, sample_pages / n)) + 1
-    some = documents.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < bound).limit(2 * sample_pages)
-    cut = blocks.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).where(F.pmod(F.xxhash64("document_id"), F.lit(1 << 20)) < bound)
-    rows = pages_of(some, cut).select("doc_id", "html", F.slice("items", 1, SAMPLE_BLOCKS).alias("items")).toArrow().sort_by("doc_id").combine_chunks()
+    some = documents.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < bound).orderBy(F.xxhash64("id"), "id", "doc_id").limit(2 * sample_pages)
+    short = (F.coalesce("position", F.lit(0)) < SAMPLE_BLOCKS) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    cut = blocks.where(F.pmod(F.xxhash64("document_id"), F.lit(1 << 20)) < bound).where(short)
+    rows = pages_of(some, cut, "source").select("doc_id", "html", "source", "items").toArrow().sort_by([("doc_id", "ascending"), ("source", "ascending")]).combine_chunks()
     if not rows.num_rows:
         return None
-    return to_pages(_list(rows.column("items")), rows.column("html").to_numpy(zero_copy_only=False).astype(bool))
+    pages = to_pages(_list(rows.column("items")), rows.column("html").to_numpy(zero_copy_only=False).astype(bool))
+    names = [page_labels.site_name(x) for x in rows.column("source").to_pylist()]
+    page, kind = pages.page.tolist(), pages.kind.tolist()
+    label = page_labels.sample_labels(page, kind, pages.level.tolist(), pages.text, names, lambda t: has_slot(t) or repeats(t))
+    pages.label = np.array(label, dtype=int)
+    pages.bare = np.zeros(len(pages.html), dtype=bool)
+    pages.bare[list(page_labels.bare_pages(page, kind, pages.text, label))] = True
+    return pages
 
 
 def fit_pages(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPLE_PAGES) -> PageModel | None:
     """The page model, from the labelled sample; None without pages."""
-    pages = sample_of(documents, blocks, sample_pages)
+    return fit_sample(sample_of(documents, blocks, sample_pages))
+
+
+def fit_sample(pages: Pages | None) -> PageModel | None:
     if pages is None:
         return None
-    label = np.fromiter((page_labels.furniture(t, KINDS[k]) for t, k in zip(pages.text, pages.kind)), bool, len(pages.text)).astype(int)
+    label = pages.label
     texts = _texts(pages)
     pick: list[int] = []
     seen: dict[str, int] = {}
@@ -265,28 +281,24 @@ def fit_pages(documents: DataFrame, blocks: DataFrame, sample_pages: int = SAMPL
             long += 1
             if long > SAMPLE_LONG:
                 continue
+        elif not label[i] and pages.bare[pages.page[i]]:
+            pick += [i, i, i]  # what stands in place of an article is rare
         elif not label[i] and pages.kind[i] == 1:
-            pick.append(i)  # short paragraphs of articles are few: notices, notes, bylines
+            pick.append(i)  # short paragraphs of articles are few: notes, bylines
         pick.append(i)
-    extra, own = _examples()
+    extra = _examples()
     words = [texts[i] for i in pick] + extra
-    model = train(words, np.concatenate((label[pick], own)), ["article", "furniture"], orders=(1, 2, 4), bits=17, keep_marks=True, epochs=2, alpha=0.7)
+    target = np.concatenate((label[pick], np.zeros(len(extra), dtype=int)))
+    model = train(words, target, ["article", "furniture"], orders=(1, 2, 4), bits=17, keep_marks=True, epochs=2, alpha=0.7, batch=64)
     return PageModel(model, fit_edges([(pages, label)]))
 
 
-def _examples() -> tuple[list[str], np.ndarray]:
-    """Notices and stand-ins as blocks of an article, and as titles in breadcrumbs; known phrases of furniture: what a sample of pages may hold too rarely."""
-    notices, stand_ins = notice_examples(4), [x for x in STAND_INS for _ in range(4)] + slot_examples(400)
-    text = notices + stand_ins
-    kind = np.array([(1, 1, 1, 0)[i % 4] for i in range(len(notices))] + [(1, 4, 0, 2)[i % 4] for i in range(len(stand_ins))])
-    paths = ("You are here", "Sie sind hier", "Está usted aquí", "Vous êtes ici", "Você está aqui", "Вы здесь", "当前位置")
-    crumbs = [f"{paths[i % 7]}: {a[:12]} > {b[:12]} > {a}" for i, (a, b) in enumerate(zip(stand_ins[::3] + notices[::9], notices))]
-    phrases = [x.strip().capitalize() + (" Mirvosta, Kelnador" if x.endswith(":") else "") for x in page_labels.PHRASES for _ in range(3)]
-    crumbs += phrases
-    text, kind = text + crumbs, np.concatenate((kind, np.ones(len(crumbs) - len(phrases), dtype=int), [(1, 1, 0)[i % 3] for i in range(len(phrases))]))
-    n = len(text)
-    pages = Pages(np.arange(n) // 2, np.zeros(n), kind, np.full(n, 2), text, np.ones(n // 2 + 1, dtype=bool))
-    return _texts(pages), np.repeat([0, 1], [n - len(crumbs), len(crumbs)])
+def _examples() -> list[str]:
+    """Notices and unfilled fields as blocks of an article: what a sample of pages may hold too rarely."""
+    notices, slots = notice_examples(2), slot_examples(400)
+    kind = [(1, 1, 1, 0)[i % 4] for i in range(len(notices))] + [(1, 4, 0, 2)[i % 4] for i in range(len(slots))]
+    n = len(kind)
+    return _texts(Pages(np.arange(n) // 2, np.zeros(n), np.array(kind), np.full(n, 2), notices + slots, np.ones(n // 2 + 1, dtype=bool)))
 
 
 def _list(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:

@@ -22,6 +22,8 @@ def probe(data: bytes | None) -> tuple[str, int, int] | None:
         if data[:6] in (b"GIF87a", b"GIF89a"):
             return ("gif", *struct.unpack("<HH", data[6:10]))
         if data[:2] == b"BM":
+            if data[14:18] == b"\x0c\0\0\0":  # the core header has sides of two bytes
+                return ("bmp", *struct.unpack("<HH", data[18:22]))
             w, h = struct.unpack("<ii", data[18:26])
             return ("bmp", w, abs(h))
         if data[:4] == b"RIFF" and data[8:12] == b"WEBP":

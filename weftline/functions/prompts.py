@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,31 +12,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import InvalidRequest
-from weftline.functions.jsonschema import errors_of
+from weftline.functions.jsonschema import check_schema, errors_of
 from weftline.session import ship
 from weftline.snapshot.table import VersionedTable
 
-_FIELD = re.compile(r"\{\{\s*([A-Za-z_]\w*)\s*(?:\|\s*([A-Za-z_]\w*))?\s*\}\}")
 FORMS = ("text", "json")
 
 
+def _name(text: str, what: str) -> str:
+    if not (text.isascii() and text.isidentifier()):
+        raise InvalidRequest(f"{text!r} is no {what}")
+    return text
+
+
 def parse_template(template: str) -> list[tuple[str, str | None, str]]:
-    """(literal, field, form) pieces; an error for stray braces, unknown forms and one field in two forms."""
+    """(literal, field, form) pieces; an error for stray braces, unknown forms and one field in two forms.
+
+    The text is split at the opening braces: what precedes the first is literal, and each later part is a field up
+    to its closing braces and the literal after them.
+    """
     if not isinstance(template, str) or not template.strip():
         raise InvalidRequest("a template is a text that is not blank")
-    pieces, at, forms = [], 0, {}
-    for m in _FIELD.finditer(template):
-        form = (m.group(2) or "text").lower()
+    literal, *rest = template.split("{{")
+    pieces: list[tuple[str, str | None, str]] = []
+    for part in rest:
+        inner, closed, after = part.partition("}}")
+        if not closed or "}}" in literal:
+            raise InvalidRequest("stray braces in the template")
+        name, barred, form = (x.strip() for x in inner.partition("|"))
+        form = _name(form, "form").lower() if barred else FORMS[0]
         if form not in FORMS:
             raise InvalidRequest(f"unknown form {form!r}; known: {FORMS}")
-        if forms.setdefault(m.group(1), form) != form:
-            raise InvalidRequest(f"field {m.group(1)!r} in two forms")
-        pieces.append((template[at : m.start()], m.group(1), form))
-        at = m.end()
-    pieces.append((template[at:], None, "text"))
-    if any("{{" in lit or "}}" in lit for lit, _, _ in pieces):
+        pieces.append((literal, _name(name, "field"), form))
+        literal = after
+    if "}}" in literal:
         raise InvalidRequest("stray braces in the template")
-    return pieces
+    used = {(n, f) for _, n, f in pieces}
+    if len(used) > len({n for n, _ in used}):
+        raise InvalidRequest("a field in two forms")
+    return [*pieces, (literal, None, FORMS[0])]
 
 
 def render(df: DataFrame, template: str, bindings: dict[str, Column] | None = None) -> Column:
@@ -75,13 +88,22 @@ class EchoClient:
         return json.dumps({"answer": hashlib.sha256(request.encode()).hexdigest()[:16]})
 
 
+def _latest(journal: VersionedTable) -> DataFrame:
+    """One entry a request: its answer, else the error of its last try."""
+    latest = F.max_by(F.struct("__answer", "__error"), F.struct(F.col("__error").isNull(), "__at"))
+    return journal.read().groupBy("__key").agg(latest.alias("it")).select("__key", "it.__answer", "it.__error")
+
+
 def map_prompt(df: DataFrame, template: str, client: Callable[[str], str], output: str = "answer", schema: dict | None = None, retries: int = 1, journal: VersionedTable | None = None, version: str = "1") -> DataFrame:
     """Render, ask, check against a schema (asking again up to ``retries`` times) and add ``output`` (JSON text) and ``error``.
 
     With a ``journal`` equal requests are asked once: answers are kept under the
-    hash of version and request, and reused on later runs.
+    hash of version and request, and reused on later runs.  Requests that failed
+    are kept with their error and asked again on the next run; the latest entry
+    of a request counts.
     """
     ship(df.sparkSession)
+    schema = check_schema(schema) if schema else None
     asked = df.withColumn("__request", render(df, template)).withColumn("__key", F.sha2(F.concat(F.lit(version + "\x00"), "__request"), 256))
     result = "`__key` string, `__answer` string, `__error` string"
 
@@ -108,9 +130,10 @@ def map_prompt(df: DataFrame, template: str, client: Callable[[str], str], outpu
     if journal is None:
         known = distinct.mapInArrow(run, result)
     else:
-        held = journal.read() if journal.head() else df.sparkSession.createDataFrame([], result)
-        fresh = distinct.join(held, "__key", "left_anti")
+        empty = df.sparkSession.createDataFrame([], result)
+        held = journal.read() if journal.head() else empty
+        fresh = distinct.join(held.where("`__error` IS NULL"), "__key", "left_anti")
         if not fresh.isEmpty():
-            journal.commit(fresh.mapInArrow(run, result), "append", expected_version=journal.head())
-        known = journal.read() if journal.head() else held
+            journal.commit(fresh.mapInArrow(run, result).withColumn("__at", F.current_timestamp()), "append", expected_version=journal.head())
+        known = _latest(journal) if journal.head() else empty
     return asked.join(known, "__key", "left").withColumnRenamed("__answer", output).withColumnRenamed("__error", "error").drop("__request", "__key")

@@ -1,18 +1,26 @@
 """Versioned tables: immutable Parquet files and a log of manifests.
 
-Layout: ``data/<id>/*.parquet`` and ``_versions/<number>.json``.  A commit
-writes its files first and then creates the manifest of the next number; the
-file system refuses to create it twice, so of two writers one loses with
-``WriteConflict`` and nothing is overwritten.  Readers take a version's file
-list, and filters and projections reach the Parquet scan as usual.
+Layout: ``data/<id>/*.parquet``, ``_versions/<number>.json`` and ``_marks``.  A
+commit writes its files first, then its manifest aside, and then gives that file
+the name of the next number without overwriting: one atomic step, so of two
+writers one loses with ``WriteConflict``, and a writer that dies before or after
+it leaves nothing in the way of the next.  Readers take a version's file list,
+and filters and projections reach the Parquet scan as usual.
+
+A manifest of an append names its own files and the version that it adds to;
+every ``FULL``-th names all files, so a manifest stays small and few are read.
+Marks (operation id, stream batch, fingerprint) lead to their version by name:
+a look-up costs the same whatever the number of versions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import time
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +28,10 @@ from pyspark.sql import types as T
 
 from weftline.errors import InvalidRequest, WriteConflict, WriteError
 from weftline.operators.keys import check_columns
+from weftline.session import materialize
 
 MODES = ("create", "append", "overwrite", "merge")
+FULL = 16
 
 
 @dataclass(frozen=True)
@@ -35,6 +45,8 @@ class Manifest:
     parent: int = 0
     when: float = 0.0
     keys: dict = field(default_factory=dict)  #: fingerprint, stream batch and the like
+    base: int = 0  #: the version whose files this one adds to; 0 where ``files`` are all of them (in the log only)
+    depth: int = 0  #: manifests below this one in the log
 
 
 @dataclass(frozen=True)
@@ -69,39 +81,111 @@ class VersionedTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return max((int(n[:20]) for n in names if n.endswith(".json") and n[:20].isdigit()), default=0)
 
-    def manifest(self, version: int | None = None) -> Manifest:
-        version = self.head() if version is None else version
-        path = self._path(self._name(version)) if version else None
-        if not version or not self._fs.exists(path):
-            raise InvalidRequest(f"{self.uri} has no version {version}")
-        stream = self._fs.open(path)
+    def versions(self) -> list[int]:
+        """The versions that can be read, in order."""
+        folder = self._path(f"{self.uri}/_versions")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n[:20]) for n in names if n.endswith(".json") and n[:20].isdigit())
+
+    def _load(self, path: str) -> dict | None:
+        at = self._path(path)
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Manifest(**json.loads(text))
 
-    def history(self) -> list[Manifest]:
-        return [self.manifest(v) for v in range(1, self.head() + 1)]
-
-    def _publish(self, m: Manifest) -> None:
-        data = json.dumps(asdict(m)).encode()
-        # written aside first: a manifest is whole from the moment it has its name
-        aside = self._path(f"{self.uri}/_versions/.{m.version:020d}-{uuid.uuid4().hex}")
+    def _store(self, path: str, value: dict, overwrite: bool = False) -> bool:
+        """Write a small file as a whole or not at all; False where it is there and must not be replaced."""
+        folder, _, name = path.rpartition("/")
+        aside = self._path(f"{folder}/.{name}-{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
-        out.write(bytearray(data))
+        out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        target = self._path(self._name(m.version))
-        lock = self._path(f"{self.uri}/_versions/.{m.version:020d}.lock")
         try:
-            self._fs.create(lock, False).close()
-        except Exception as e:
-            self._fs.delete(aside, False)
-            raise WriteConflict(f"version {m.version} of {self.uri} exists") from e
-        if self._fs.exists(target) or not self._fs.rename(aside, target):
+            return self._name_once(aside, self._path(path), overwrite)
+        finally:
             self._fs.delete(aside, False)
+
+    def _name_once(self, aside, target, overwrite: bool) -> bool:
+        if self._fs.getScheme() == "file":  # a rename would replace the target on local disks; a link does not
+            source, end = aside.toUri().getPath(), target.toUri().getPath()
+            if overwrite:
+                os.replace(source, end)
+                return True
+            try:
+                os.link(source, end)
+            except FileExistsError:
+                return False
+            return True
+        jvm = self.spark._jvm
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE if overwrite else kind.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(aside, target, how)
+        except Exception:
+            if self._fs.exists(target):
+                return False
+            raise
+        return True
+
+    def _raw(self, version: int) -> Manifest | None:
+        found = self._load(self._name(version))
+        return Manifest(**found) if found else None
+
+    def manifest(self, version: int | None = None) -> Manifest:
+        """The manifest of a version with all its files."""
+        version = self.head() if version is None else version
+        m = self._raw(version) if version else None
+        if m is None:
+            raise InvalidRequest(f"{self.uri} has no version {version}")
+        files, at = [m.files], m
+        while at.base:
+            whole = self._load(self._files_name(at.version))
+            if whole:  # what lay below it was retired
+                files[-1] = whole["files"]
+                break
+            at = self._raw(at.base)
+            files.append(at.files)
+        return replace(m, files=[f for part in reversed(files) for f in part], base=0)
+
+    def _files_name(self, version: int) -> str:
+        return f"{self.uri}/_versions/{version:020d}.files"
+
+    def history(self) -> list[Manifest]:
+        """The manifests of all versions that are not retired."""
+        return [self.manifest(v) for v in self.versions()]
+
+    def _publish(self, m: Manifest, base: Manifest | None = None) -> None:
+        """Make ``m`` a version; with ``base`` its files are those of ``base`` and ``m.files``."""
+        if base is not None:
+            m = replace(m, base=base.version, depth=base.depth + 1) if base.depth + 1 < FULL else replace(m, files=base.files + m.files)
+        for name, value in (("operation", m.operation_id), *m.keys.items()):
+            held = self._load(self._mark(name, value))
+            if not (held and held.get("sure")):
+                # before the version: a mark alone proves nothing, see _marked
+                self._store(self._mark(name, value), {"version": m.version, "operation_id": m.operation_id, "rows": m.rows}, overwrite=True)
+        if not self._store(self._name(m.version), asdict(m)):
             raise WriteConflict(f"version {m.version} of {self.uri} exists")
 
+    def _mark(self, name: str, value) -> str:
+        return f"{self.uri}/_marks/{hashlib.sha256(json.dumps([name, value], sort_keys=True).encode()).hexdigest()}.json"
+
+    def _marked(self, name: str, value) -> Receipt | None:
+        """The version that a mark leads to, if that version was published by the operation of the mark (or is known to have been)."""
+        held = self._load(self._mark(name, value))
+        if held is None:
+            return None
+        if not held.get("sure"):
+            m = self._raw(held["version"])
+            if m is None or m.operation_id != held["operation_id"]:
+                return None
+        return Receipt(self.uri, held["version"], held["operation_id"], "committed", held["rows"], {})
+
     # -- reading
 
     def schema(self, version: int | None = None) -> T.StructType:
@@ -128,12 +212,12 @@ class VersionedTable:
 
     # -- writing
 
-    def _files(self, df: DataFrame) -> tuple[list[str], int]:
+    def _files(self, df: DataFrame, count: bool = True) -> tuple[list[str], int]:
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.uri}/{folder}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.uri}/{folder}"))]
         files = [f"{folder}/{n}" for n in sorted(found) if n.endswith(".parquet")]
-        rows = self.spark.read.schema(df.schema).parquet(f"{self.uri}/{folder}").count() if files else 0
+        rows = self.spark.read.schema(df.schema).parquet(f"{self.uri}/{folder}").count() if files and count else 0  # from the footers
         return files, rows
 
     def commit(self, df: DataFrame, mode: str = "create", expected_version: int | None = None, on=None, update_columns: list[str] | None = None, when_not_matched: str = "error", keys: dict | None = None, operation_id: str | None = None, skip_empty: bool = False) -> Receipt:
@@ -159,9 +243,8 @@ class VersionedTable:
         files, rows = self._files(df)
         if skip_empty and not rows:
             return Receipt(self.uri, head, operation_id or "", "unchanged", 0, {})
-        kept, before = (old.files, old.rows) if old else ([], 0)
-        m = Manifest(head + 1, json.loads(plain.json()), kept + files, before + rows, operation_id or uuid.uuid4().hex, mode, head, time.time(), keys or {})
-        self._publish(m)
+        m = Manifest(head + 1, json.loads(plain.json()), files, (old.rows if old else 0) + rows, operation_id or uuid.uuid4().hex, mode, head, time.time(), keys or {})
+        self._publish(m, old)
         return Receipt(self.uri, m.version, m.operation_id, "committed", rows, {"inserted": rows})
 
     def merge(self, patch: DataFrame, on, update_columns: list[str] | None = None, when_not_matched: str = "error", expected_version: int | None = None, operation_id: str | None = None) -> Receipt:
@@ -170,7 +253,8 @@ class VersionedTable:
         Keys must be unique and not null on both sides, and whole numbers,
         strings or bytes.  A null in the patch clears; columns that it lacks stay.
         Patch rows without a match are an error, ignored or inserted.  A merge
-        that changes nothing keeps the version.
+        that changes nothing keeps the version.  The keys of both sides meet in
+        one aggregation; only files that hold a row to change are written again.
         """
         if when_not_matched not in ("error", "ignore", "insert"):
             raise InvalidRequest("when_not_matched must be error, ignore or insert")
@@ -190,40 +274,54 @@ class VersionedTable:
             if _kind(patch.schema[c].dataType) != _kind(target.schema[c].dataType):
                 raise InvalidRequest(f"{c} is {target.schema[c].dataType.simpleString()}, not {patch.schema[c].dataType.simpleString()}")
         changes = [c for c in (update_columns or patch.columns) if c not in keys]
-        for name, side in (("target", target), ("patch", patch)):
-            bad = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
-            if not bad.isEmpty():
-                raise InvalidRequest(f"null or repeated keys in the {name}")
-        p = patch.select(*[F.col(c).alias(f"__p_{c}") for c in patch.columns], F.lit(True).alias("__p"))
-        t = target.withColumn("__t", F.lit(True))
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & (F.col(k) == F.col(f"__p_{k}"))
-        both = t.join(p, cond, "full_outer")
-        hit = F.col("__t").isNotNull() & F.col("__p").isNotNull()
+        old = self.manifest(head)
+        # one pass over the keys of both sides: what each patch row meets, and in which file
+        mine = target.select(*keys, F.struct(*changes).alias("__old") if changes else F.lit(None).cast("struct<x:int>").alias("__old"), (F.col("_metadata.file_path") if old.files else F.lit(None).cast("string")).alias("__file"))
+        theirs = patch.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in keys], F.struct(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in patch.columns]).alias("__new"))
+        met = mine.unionByName(theirs, allowMissingColumns=True).groupBy(*keys).agg(
+            F.count("__file").alias("__t"), F.count("__new").alias("__p"), F.max("__file").alias("__file"), F.first("__old", ignorenulls=True).alias("__old"), F.first("__new", ignorenulls=True).alias("__new")
+        )
         differs = F.lit(False)
         for c in changes:
-            differs = differs | ~F.col(c).eqNullSafe(F.col(f"__p_{c}"))
-        stats = both.agg(
-            F.count_if(hit & differs).alias("updated"), F.count_if(hit).alias("matched"), F.count_if(F.col("__t").isNull()).alias("unmatched")
-        ).first()
-        if stats["unmatched"] and when_not_matched == "error":
-            raise InvalidRequest(f"{stats['unmatched']} rows of the patch match nothing")
-        inserted = stats["unmatched"] if when_not_matched == "insert" else 0
-        done = {"updated": stats["updated"], "inserted": inserted, "ignored": stats["unmatched"] - inserted}
-        if not stats["updated"] and not inserted:
+            differs = differs | ~F.col(f"__old.{c}").eqNullSafe(F.col(f"__new.{c}"))
+        bad = (F.col("__t") > 1) | (F.col("__p") > 1) | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        kind = F.when(bad, "bad").when(F.col("__t") == 0, "new").when(differs, "changed").otherwise("same")
+        seen = met.where((F.col("__p") > 0) | bad).select(*keys, "__file", "__new", kind.alias("__kind"))
+        seen = materialize(seen.where("__kind <> 'same'"), "merge")
+        count: dict[str, int] = {}
+        touched: set[str] = set()
+        for r in seen.groupBy("__kind", "__file").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a file
+            count[r["__kind"]] = count.get(r["__kind"], 0) + r["n"]
+            if r["__kind"] == "changed":
+                touched.add(r["__file"])
+        if count.get("bad"):
+            raise InvalidRequest("null or repeated keys in the target or the patch")
+        updated, unmatched = count.get("changed", 0), count.get("new", 0)
+        if unmatched and when_not_matched == "error":
+            raise InvalidRequest(f"{unmatched} rows of the patch match nothing")
+        inserted = unmatched if when_not_matched == "insert" else 0
+        done = {"updated": updated, "inserted": inserted, "ignored": unmatched - inserted}
+        if not updated and not inserted:
             return Receipt(self.uri, head, operation_id or "", "unchanged", 0, done)
-        keep = F.col("__t").isNotNull() if not inserted else F.lit(True)
-        cols = []
-        for f in target.schema.fields:
-            new = F.col(f"__p_{f.name}") if f.name in patch.columns else F.lit(None)
-            value = F.when(F.col("__t").isNull(), new).when(hit, new if f.name in changes else F.col(f.name)).otherwise(F.col(f.name))
-            cols.append(value.cast(f.dataType).alias(f.name))
-        files, rows = self._files(both.where(keep).select(*cols))
-        old = self.manifest(head)
-        m = Manifest(head + 1, old.schema, files, rows, operation_id or uuid.uuid4().hex, "merge", head, time.time())
+        names = {"/".join(f.rsplit("/", 3)[1:]) for f in touched}
+        stale = [f for f in old.files if f in names]
+        parts = []
+        if stale:
+            news = seen.where("__kind = 'changed'").select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__new"))
+            same = F.lit(True)
+            for k in keys:
+                same = same & (F.col(k) == F.col(f"__k_{k}"))
+            held = self.spark.read.schema(target.schema).parquet(*[f"{self.uri}/{f}" for f in stale])
+            cols = [F.when(F.col("__new").isNotNull(), F.col(f"__new.{f.name}")).otherwise(F.col(f.name)).alias(f.name) if f.name in changes else F.col(f.name) for f in target.schema.fields]
+            parts.append(held.join(news, same, "left").select(*cols))
+        if inserted:
+            parts.append(seen.where("__kind = 'new'").select(*[(F.col(f"__new.{f.name}") if f.name in patch.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in target.schema.fields]))
+        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        files, _ = self._files(out, count=False)
+        gone = set(stale)
+        m = Manifest(head + 1, old.schema, [f for f in old.files if f not in gone] + files, old.rows + inserted, operation_id or uuid.uuid4().hex, "merge", head, time.time(), keys={"batch": operation_id} if operation_id else {})
         self._publish(m)
-        return Receipt(self.uri, m.version, m.operation_id, "committed", stats["updated"] + inserted, done)
+        return Receipt(self.uri, m.version, m.operation_id, "committed", updated + inserted, done)
 
     def add_columns(self, schema: str | T.StructType, expected_version: int | None = None) -> Receipt:
         """New top-level columns, null in all rows; only the manifest changes."""
@@ -242,22 +340,16 @@ class VersionedTable:
 
     def find(self, operation_id: str) -> Receipt | None:
         """The commit of an operation whose answer was lost; None if it never became a version."""
-        for v in range(self.head(), 0, -1):
-            m = self.manifest(v)
-            if m.operation_id == operation_id:
-                lost = [f for f in m.files if not self._fs.exists(self._path(f"{self.uri}/{f}"))]
-                if lost:
-                    raise WriteError(f"version {v} lacks files: {lost[:3]}")
-                return Receipt(self.uri, v, operation_id, "committed", m.rows, {})
-        return None
+        found = self._marked("operation", operation_id)
+        m = self._raw(found.version) if found else None
+        lost = [f for f in m.files if not self._fs.exists(self._path(f"{self.uri}/{f}"))] if m and m.operation_id == operation_id else []
+        if lost:
+            raise WriteError(f"version {m.version} lacks files: {lost[:3]}")
+        return found
 
     def find_key(self, name: str, value) -> Receipt | None:
         """The latest commit with this value under a manifest key (a stream's batch, a checkpoint's fingerprint)."""
-        for v in range(self.head(), 0, -1):
-            m = self.manifest(v)
-            if m.keys.get(name) == value:
-                return Receipt(self.uri, v, m.operation_id, "committed", m.rows, {})
-        return None
+        return self._marked(name, value)
 
     def consolidate(self, files: int = 1) -> Receipt:
         """The same rows in fewer files, as a new version."""
@@ -268,15 +360,29 @@ class VersionedTable:
         return VersionedTable(self.spark, uri).commit(self.read(version), "create")
 
     def retire(self, keep: int = 1) -> int:
-        """Delete the manifests before the last ``keep`` versions, and data files that no kept version names; the number of versions gone."""
-        head = self.head()
-        gone = [v for v in range(1, head - keep + 1) if self._fs.exists(self._path(self._name(v)))]
-        kept = {f.split("/")[1] for v in range(max(1, head - keep + 1), head + 1) for f in self.manifest(v).files}
-        old = {f.split("/")[1] for v in gone for f in self.manifest(v).files} - kept
+        """Delete the manifests before the last ``keep`` versions, and data files that no kept version names; the number of versions gone.
+
+        Operations and batches of the versions that go are still found.  Every step leaves a table that can be read,
+        and a second call goes on where one was stopped.
+        """
+        every = self.versions()
+        gone, kept = every[:-keep] if keep else every[:0], every[-keep:] if keep else every
+        held = {v: self.manifest(v) for v in kept}
+        for v in kept:
+            if self._raw(v).base in gone:
+                self._store(self._files_name(v), {"files": held[v].files}, overwrite=True)
+        folders = {f.split("/")[1] for m in held.values() for f in m.files}
         for v in gone:
-            self._fs.delete(self._path(self._name(v)), False)
-        for d in old:
+            m = self._raw(v)
+            for name, value in (("operation", m.operation_id), *m.keys.items()):
+                now = self._load(self._mark(name, value))
+                if now and now["version"] == v:
+                    self._store(self._mark(name, value), {**now, "sure": True}, overwrite=True)
+        for d in {f.split("/")[1] for v in gone for f in self._raw(v).files} - folders:
             self._fs.delete(self._path(f"{self.uri}/data/{d}"), True)
+        for v in gone:
+            self._fs.delete(self._path(self._files_name(v)), False)
+            self._fs.delete(self._path(self._name(v)), False)
         return len(gone)
 
 

@@ -89,13 +89,17 @@ def write_datasink(df: DataFrame, sink: Sink) -> Any:
 
 
 class KeyValueSink(Sink):
-    """Keys and values into a versioned table: later values of a key replace earlier ones."""
+    """Keys and values into a versioned table: a later put replaces the values of its keys."""
 
     def __init__(self, table: VersionedTable):
         self.table = table
 
-    def put(self, df: DataFrame, key: str = "key", value: str = "value") -> Receipt:
-        rows = df.select(F.col(key).alias("key"), F.col(value).alias("value")).groupBy("key").agg(F.first("value").alias("value"))
+    def put(self, df: DataFrame, key: str = "key", value: str = "value", order: str | None = None) -> Receipt:
+        """Of rows with one key the last by ``order`` counts; without it the keys must be unique."""
+        rows = df.select(F.col(key).alias("key"), F.col(value).alias("value"), (F.col(order) if order else F.lit(0)).alias("at"))
+        if order is None and not rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            raise InvalidRequest("repeated keys: name the column that orders them")
+        rows = rows.groupBy("key").agg(F.max_by("value", F.struct("at", "value")).alias("value"))
         if not self.table.head():
             return self.table.commit(rows, "create")
         return self.table.merge(rows, ["key"], when_not_matched="insert")

@@ -1,9 +1,11 @@
 import re
 from collections import defaultdict
 
+import pytest
 from llm.tables import BLOCK, DOC, URL, blocks, documents, empty, read, with_clashes
 
 from weftline.llm import site_lines as S
+from weftline.llm.oracles import ORACLES
 
 
 def site(url):
@@ -55,8 +57,8 @@ def test_threshold_case_marks_and_doubles(spark):
 def test_copies_are_one_cluster(spark):
     docs, urls, _ = toy(spark)
     same = blocks(spark, [{"document_id": f"d{i}", "position": 0, "text": "the same article published again"} for i in range(7)])
-    assert S.repeated_lines(docs, urls, same).count() == 7
-    assert S.repeated_lines(docs, urls, same, min_clusters=2).count() == 0
+    assert S.repeated_lines(docs, urls, same, min_clusters=1, min_days=0).count() == 7
+    assert S.repeated_lines(docs, urls, same, min_clusters=2).count() == S.repeated_lines(docs, urls, same).count() == 0
     lines = S.document_lines(docs, urls, same)
     row = S.line_counts(lines).first()
     assert (row.n_docs, row.n_clusters, row.n_days) == (7, 1, 1)
@@ -67,7 +69,29 @@ def test_one_hot_line(spark):
     docs = documents(spark, [{"doc_id": i, "id": f"d{i}"} for i in range(n)])
     urls = spark.createDataFrame([("http://x.one.test/", f"d{i}") for i in range(n)], URL)
     blks = blocks(spark, [{"document_id": f"d{i}", "position": 0, "text": "everywhere the same line"} for i in range(n)])
-    assert S.repeated_lines(docs, urls, blks).count() == n
+    assert S.repeated_lines(docs, urls, blks, min_clusters=1, min_days=0).count() == n
+    own = blks.unionByName(blocks(spark, [{"document_id": f"d{i}", "position": 1, "text": "own " + "abcdefghij"[i % 10] * (i // 10 + 3)} for i in range(n)]))
+    assert S.repeated_lines(docs, urls, own).count() == n
+
+
+def test_an_article_published_again_is_kept(spark):
+    """Six snapshots of one article among other pages: its lines stay, the share line of all pages goes."""
+    docs = documents(spark, [{"doc_id": i, "id": f"d{i}", "observed": 86400.0 * i} for i in range(14)])
+    urls = spark.createDataFrame([(f"http://w.site.test/{i}", f"d{i}") for i in range(14)], URL)
+    article = "The copper bridge was moved in spring\nNobody knows why"
+    rows = [{"document_id": f"d{i}", "position": 0, "text": f"Share this page\n{article}"} for i in range(7)]
+    rows += [{"document_id": f"d{i}", "position": 0, "text": f"Share this page\nanother line {'abcdefghijklmn'[i] * 4}"} for i in range(7, 14)]
+    blks = blocks(spark, rows)
+    found = S.repeated_lines(docs, urls, blks)
+    assert {tuple(r) for r in found.collect()} == {(i, 0, 0) for i in range(14)}
+    assert {r.doc_id: r.text for r in S.without_lines(docs, blks, found).collect()}[3] == article
+    assert S.repeated_lines(docs, urls, blks, min_clusters=1, min_days=0).count() == 28
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("urls", urls), ("blocks", blks)):
+        con.register(name, df.toArrow())
+    assert set(con.sql(ORACLES["p1_found"]).fetchall()) == {(i, 0, 0) for i in range(14)}
+    assert dict(con.sql(ORACLES["p1_clean"]).fetchall())[3] == article
 
 
 def test_empty_and_clashing(spark):

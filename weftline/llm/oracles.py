@@ -10,7 +10,14 @@ l AS (
   SELECT doc_id, document_id, position, CAST(i - 1 AS INTEGER) AS line_no, line, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS norm
   FROM (SELECT doc_id, document_id, position, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM b)),
 n AS (SELECT l.*, s.site FROM l JOIN site s USING (document_id) WHERE length(norm) >= 4),
-often AS (SELECT site, norm FROM n GROUP BY site, norm HAVING count(DISTINCT doc_id) >= 6),
+doc AS (
+  SELECT n.doc_id, n.site, string_agg(DISTINCT norm, chr(10) ORDER BY norm) AS lines, any_value(floor(d.observed / 86400)) AS day
+  FROM n JOIN documents d USING (doc_id) GROUP BY n.doc_id, n.site),
+cluster AS (SELECT site, lines, min(day) AS day, row_number() OVER (ORDER BY site, lines) AS number FROM doc GROUP BY site, lines),
+often AS (
+  SELECT n.site, n.norm FROM n JOIN doc USING (doc_id, site) JOIN cluster c ON c.site = doc.site AND c.lines = doc.lines
+  GROUP BY n.site, n.norm
+  HAVING count(DISTINCT n.doc_id) >= 6 AND count(DISTINCT c.number) >= 6 AND count(DISTINCT c.day) + count(DISTINCT CASE WHEN c.day IS NULL THEN c.number END) >= 2),
 found AS (SELECT DISTINCT doc_id, position, line_no FROM n JOIN often USING (site, norm))
 """
 

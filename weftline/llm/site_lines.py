@@ -3,7 +3,8 @@
 Method: documents of a site that hold the same set of normalised lines are
 first collapsed into one cluster; each line is then counted over distinct
 clusters and distinct days, so that a text published again and again is not
-mistaken for boilerplate.  A cluster carries the number of documents that it
+mistaken for boilerplate: a line is repeated if ``MIN_CLUSTERS`` clusters of
+``MIN_DAYS`` days hold it.  A cluster carries the number of documents that it
 stands for, which makes the plain count of documents exact as well, while the
 lines of a copied document are exploded only once.
 
@@ -20,7 +21,8 @@ Defined results
     site, hence left out of the counts and returned whole by the cleaner.
   * blocks doubled exactly count once; a line is counted once a document.
   * empty tables give empty results; other columns are never read.
-  * lines are keyed by 128 bits (two hashes) of the normalised line.
+  * a cluster has the day of its first document; one without a date counts as a day of its own;
+  * lines are keyed by 96 bits (a hash of 64 and one of 32) of the normalised line.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from weftline.functions.urls import site_of
 from weftline.session import materialize
 
 MIN_DOCUMENTS = 6
+MIN_CLUSTERS = 6
+MIN_DAYS = 2
 MIN_LETTERS = 4
 
 
@@ -62,7 +66,7 @@ def document_sites(urls: DataFrame) -> DataFrame:
 
 def document_lines(documents: DataFrame, urls: DataFrame, blocks: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
     """One row a document: document_id, doc_id, site, day, items (position and line keys of its blocks)."""
-    day = F.to_date(F.timestamp_seconds(F.col("observed")))
+    day = F.floor(F.col("observed") / 86400)
     known = documents.select(F.col("id").alias("document_id"), "doc_id", day.alias("day")).join(document_sites(urls), "document_id")
     lines = blocks.select("document_id", "position", line_keys(F.col("text"), min_letters).alias("keys")).where(F.exists("keys", lambda k: k.isNotNull()))
     return (
@@ -92,7 +96,7 @@ def line_counts(lines: DataFrame) -> DataFrame:
         .groupBy("site", "key", "day")
         .agg(F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_clusters"))
         .groupBy("site", "key")
-        .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_clusters").alias("n_clusters"), F.count("day").alias("n_days"))
+        .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_clusters").alias("n_clusters"), F.sum(F.when(F.col("day").isNull(), F.col("n_clusters")).otherwise(1)).alias("n_days"))
     )
 
 
@@ -101,15 +105,15 @@ def repeated_lines(
     urls: DataFrame,
     blocks: DataFrame,
     min_documents: int = MIN_DOCUMENTS,
-    min_clusters: int = 1,
-    min_days: int = 0,
+    min_clusters: int = MIN_CLUSTERS,
+    min_days: int = MIN_DAYS,
     min_letters: int = MIN_LETTERS,
 ) -> DataFrame:
     """Occurrences (doc_id, position, line_no) of the lines that recur on their site.
 
     A line is repeated if it reaches all three thresholds: documents, clusters
-    of equal documents, and days.  Raise ``min_clusters`` and ``min_days`` to
-    spare texts that were merely published again.
+    of equal documents, and days.  With one cluster and no day it is the plain
+    count of documents, which takes an article published again for boilerplate.
     """
     lines = materialize(document_lines(documents, urls, blocks, min_letters), "site-lines")
     often = line_counts(lines).where((F.col("n_docs") >= min_documents) & (F.col("n_clusters") >= min_clusters) & (F.col("n_days") >= min_days)).select("site", "key")

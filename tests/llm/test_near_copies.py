@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 from llm.tables import BLOCK, DOC, blocks, documents, empty, read, with_clashes
+from pyspark.sql import functions as F
 
 from weftline.llm import near_copies as N, page_tree as P
 
@@ -98,6 +99,36 @@ def test_third_of_all_rows_are_copies(spark, small):
     assert pairs.count() == 0 and N.all_pairs(pairs, members).count() == 50 * 49 // 2
 
 
+def test_hot_keys_meet_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(k, d) for d in range(60) for k in {rng.randrange(12), 99}]  # every document has key 99
+    band = spark.createDataFrame(rows, "key long, doc_id long")
+    want = {(a, b) for k, a in rows for q, b in rows if k == q and a < b}
+    for block in (4, 1000):
+        got = [tuple(r) for r in N.candidates(band, block).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_marks_keep_every_partner(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"))
+    pairs = spark.createDataFrame([(i, i + 7) for i in range(0, 4000, 40)], "a long, b long")
+    ends = {x for i in range(0, 4000, 40) for x in (i, i + 7)}
+    got = {r.doc_id for r in N.marked(docs, pairs).collect()}
+    assert ends <= got and len(got) < len(ends) + 20
+    assert N.marked(docs, pairs.limit(0)).count() == 0
+
+
+def test_pairs_at_the_threshold_are_met():
+    """The share of pairs at similarity 0.5 that have a band in common."""
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(150):
+        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 150, 150))
+        ra, rb = (N.sketch(np.sort(np.concatenate((both, x))), np.array([0])) for x in (a, b))
+        met += (N.band_keys(ra) == N.band_keys(rb)).any()
+    assert met >= 148
+
+
 def test_empty(spark):
     pairs, members = N.near_copies(empty(spark, DOC), empty(spark, BLOCK))
     assert N.all_pairs(pairs, members).count() == 0 and N.groups(pairs, members).count() == 0

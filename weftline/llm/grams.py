@@ -7,6 +7,7 @@ character or per word.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ def _fold_table(keep_marks: bool) -> np.ndarray:
     """Code point -> lower-case letter, digit class (48), line feed (10), blank (32) or, with ``keep_marks``, the mark itself (private code points too)."""
     if keep_marks not in _FOLD:
         t = np.full(0x110000, _GAP, dtype=np.uint32)
-        for c in range(0x30000):
+        for c in range(sys.maxunicode + 1):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()
@@ -77,7 +78,7 @@ _LETTER: list[np.ndarray] = []
 def _is_letter() -> np.ndarray:
     if not _LETTER:
         t = np.zeros(0x110000, dtype=bool)
-        t[:0x30000] = [chr(c).isalpha() for c in range(0x30000)]
+        t[:] = [chr(c).isalpha() for c in range(sys.maxunicode + 1)]
         _LETTER.append(t)
     return _LETTER[0]
 

@@ -12,12 +12,18 @@ sets themselves.
 
 Documents with equal sets form one class and only its least id takes part;
 found pairs are expanded to all members at the end.  A band key that many
-representatives share is joined like any other, split over tasks by adaptive
-execution; no partner is left out and nothing is gathered in one task.
+representatives share is split: its members fall into blocks of about ``BLOCK``,
+and each pair of blocks is a join key of its own, so no task sees more than
+``BLOCK`` squared pairs and no partner is left out.
 
-With 128 bands of five registers a pair at similarity 0.5 is met with
-probability 0.97, at 0.6 with 0.9999 and more; at 0.07, the similarity of unrelated
-documents with much phrasing in common, with 0.0002.
+With 256 bands of five out of 256 registers a pair at similarity 0.5 is met with
+probability 0.998, at 0.6 with 0.99999; at 0.07, the similarity of unrelated
+documents with much phrasing in common, with 0.0004.
+
+Plan: registers and word sequences are fetched only for documents that have a
+candidate or a close partner: the ids of these are marked in a bitmap of fixed
+size (``MARKS`` bits), which filters the sketches before they are shuffled; where
+it is full it lets all pass, and nothing is lost.
 
 Defined results: as in ``page_tree``; documents with fewer than ``MIN_WORDS``
 words in the article take no part; similarity equal to the threshold counts;
@@ -26,11 +32,12 @@ several addresses of a document do not matter.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.page_tree import PageModel, Pages, map_pages
@@ -42,10 +49,13 @@ MIN_WORDS = 40
 WIDTH = 3
 REGISTERS = 256
 BASE = 1.001
-BANDS = 128
+BANDS = 256
 ROWS = 5
 #: A pair is verified unless its estimate lies this far below the threshold (over four standard errors).
 SLACK = 0.14
+BLOCK = 512
+#: Bits of the map of documents with partners: 256 rows of 4 kB.
+MARKS = 1 << 23
 
 _WORD: list[np.ndarray] = []
 
@@ -54,12 +64,12 @@ def _word_table() -> np.ndarray:
     """Code point -> lower-case letter or digit (0: neither); Chinese characters have the top bit set."""
     if not _WORD:
         t = np.zeros(0x110000, dtype=np.uint32)
-        for c in range(0x30000):
+        for c in range(sys.maxunicode + 1):
             ch = chr(c)
             if ch.isalnum():
                 low = ch.lower()
                 t[c] = ord(low) if len(low) == 1 else c
-        for a, b in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x2FA20)):
+        for a, b in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x2FA20), (0x30000, 0x323B0)):
             t[a:b] = np.arange(a, b, dtype=np.uint32) | np.uint32(1 << 31)
         _WORD.append(t)
     return _WORD[0]
@@ -213,27 +223,46 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, estimate double")
 
 
+def _bit(id_: str) -> tuple[Column, Column, Column]:
+    """Bucket, byte and bit of an id in a bitmap of ``MARKS`` bits."""
+    h = F.pmod(F.xxhash64(id_), F.lit(MARKS))
+    place = F.bitmap_bit_position(h)
+    return F.bitmap_bucket_number(h), (F.floor(place / 8) + 1).cast("int"), F.pmod(place, F.lit(8)).cast("int")
+
+
+def marked(df: DataFrame, pairs: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id may be an end of ``pairs``: all that are, and few others."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"))
+    h = F.pmod(F.xxhash64("end"), F.lit(MARKS))
+    bits = ends.groupBy(F.bitmap_bucket_number(h).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("__bits"))  # MARKS / 2**15 rows at most
+    bucket, byte, bit = _bit(id_)
+    held = F.conv(F.hex(F.substring(F.col("__bits"), byte, F.lit(1))), 16, 10).cast("int")
+    return df.join(F.broadcast(bits), bucket == F.col("__bucket")).where(held.bitwiseAND(F.pow(F.lit(2), bit).cast("int")) != 0).drop("__bucket", "__bits")
+
+
+def candidates(band: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: documents that share a key, each pair once. ``band`` holds key and doc_id and is read several times."""
+    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / block).cast("int").alias("parts"))
+    held = materialize(band.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int")), "bands")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = held.select("key", F.col("own").alias("i"), every.alias("j"), F.col("doc_id").alias("a"))
+    b = held.select("key", F.col("own").alias("j"), every.alias("i"), F.col("doc_id").alias("b"))
+    return a.join(b, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
+
+
 def class_pairs(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity): verified pairs of class representatives, a < b. ``sketched`` is read several times: pass a written table."""
     ship(sketched.sparkSession)
     reps = sketched.groupBy("mark", "mark_b", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    own = sketched.join(reps, "doc_id", "left_semi")
-    band = own.select(F.explode("keys").alias("key"), "doc_id")
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    band = materialize(band.join(shared, "key", "left_semi"), "bands")
-    met = (
-        band.select("key", F.col("doc_id").alias("a"))
-        .join(band.select("key", F.col("doc_id").alias("b")), "key")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
+    band = sketched.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
+    met = materialize(candidates(band), "met")
+    own = marked(sketched.select("doc_id", "n", "registers"), met)
     left = own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    close = materialize(_estimated(met.join(left, "a").join(right, "b")).where(F.col("estimate") >= threshold - SLACK), "near")
-    # every row of a is fetched once a pair; only documents with a close partner take part
-    sa = own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    sb = own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    close = materialize(_estimated(met.join(left, "a").join(right, "b")).where(F.col("estimate") >= threshold - SLACK).select("a", "b"), "near")
+    sets = marked(sketched.select("doc_id", "shingles"), close)
+    sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         close.join(sa, "a")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import calls, language, mixing, near_copies, packing, page_tree, residue, site_lines
 from weftline.session import table
@@ -36,6 +37,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.all_pairs(*near_copies.near_copies(table(spark, d, "documents"), table(spark, d, "blocks")))
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of class representatives; with ``p4_members`` they are the whole answer without expanding copies into pairs."""
+    pairs, _ = near_copies.near_copies(table(spark, d, "documents"), table(spark, d, "blocks"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of equal articles of every document that takes part, by its least id."""
+    _, members = near_copies.near_copies(table(spark, d, "documents"), table(spark, d, "blocks"))
+    return members
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.groups(*near_copies.near_copies(table(spark, d, "documents"), table(spark, d, "blocks")))
 
@@ -84,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_bodies": p2_bodies,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
+    "p4_members": p4_members,
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_templates": p5_templates,

@@ -47,3 +47,12 @@ def test_intermediate_tables_are_released(spark):
     e = materialize(spark.range(0).selectExpr("id", "cast(null as array<string>) a"), "t")
     assert d.count() == 5 and e.count() == 0 and e.columns == ["id", "a"]
     assert release(spark) == 2 and release(spark) == 0
+
+
+def test_bitmaps_of_both_headers():
+    import struct
+
+    from weftline.functions.images import probe
+
+    assert probe(b"BM" + b"\0" * 12 + struct.pack("<IHHHH", 12, 7, 9, 1, 24)) == ("bmp", 7, 9)
+    assert probe(b"BM" + b"\0" * 12 + struct.pack("<IiiHH", 40, 7, -9, 1, 24)) == ("bmp", 7, 9)

@@ -15,6 +15,7 @@ from weftline.snapshot.catalog import Catalog, Releases, pin
 from weftline.snapshot.digests import row_digest, table_digest
 from weftline.snapshot.table import VersionedTable
 from weftline.sources import readers, sinks
+from weftline.streaming import streams
 
 BASE = [{"id": 1, "value": "a", "other": "p"}, {"id": 2, "value": "b", "other": "q"}]
 KIND = "id long, value string, other string"
@@ -58,6 +59,82 @@ def test_lost_race_leaves_one_winner(spark, tmp_path):
     assert a.head() == 2
 
 
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(6))
+def test_a_writer_that_stops_between_two_steps_leaves_a_table_to_go_on_with(spark, tmp_path, monkeypatch, step):
+    """Stopped before or after each of the small files that a commit names: the next commit works, and rows are those of whole commits."""
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.commit(frame(spark, BASE), "create")
+    real, calls = VersionedTable._name_once, []
+
+    def stops(self, aside, target, overwrite):
+        calls.append(1)
+        if len(calls) == step // 2 + 1:
+            if step % 2:
+                real(self, aside, target, overwrite)
+            raise Stop
+        return real(self, aside, target, overwrite)
+
+    monkeypatch.setattr(VersionedTable, "_name_once", stops)
+    try:
+        t.commit(frame(spark, BASE), "append", operation_id="lost", keys={"batch": "b1"})
+        done = True
+    except Stop:
+        done = t.head() == 2
+    monkeypatch.setattr(VersionedTable, "_name_once", real)
+    again = VersionedTable(spark, str(tmp_path / "t"))
+    assert (again.find("lost") is not None) == (again.find_key("batch", "b1") is not None) == done
+    if not done:
+        again.commit(frame(spark, BASE), "append", operation_id="lost", keys={"batch": "b1"})
+    again.commit(frame(spark, BASE), "append")
+    assert again.head() == 3 and again.read().count() == 6 and again.find("lost").version == 2
+
+
+def test_another_writer_takes_the_version_of_a_mark(spark, tmp_path):
+    """A mark that was written before its version lost the race proves nothing, also when that version is retired."""
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.commit(frame(spark, BASE), "create")
+    stale = t.manifest().__class__(**{**t.manifest().__dict__, "version": 2, "operation_id": "loser"})
+    t.commit(frame(spark, BASE), "append", operation_id="winner")
+    with pytest.raises(WriteConflict):
+        t._publish(stale)
+    assert t.find("loser") is None and t.find("winner").version == 2
+    t.commit(frame(spark, BASE), "append")
+    t.retire(keep=1)
+    assert t.find("loser") is None and t.find("winner").version == 2
+
+
+def test_readers_after_retirement(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    save = streams.save_batches(t, "s")
+    for i in range(20):
+        save(frame(spark, [{"id": i, "value": "v", "other": None}]), i)
+    assert t.head() == 20 and t.manifest().rows == 20 and len(t.manifest().files) == len(set(t.manifest().files))
+    assert t.retire(keep=2) == 18 and [m.version for m in t.history()] == [19, 20]
+    assert t.read().count() == 20 and t.read(19).count() == 19
+    with pytest.raises(InvalidRequest):
+        t.read(3)
+    save(frame(spark, BASE), 7)  # a batch of a retired version is known
+    assert t.head() == 20 and t.find("s:7").version == 8
+    save(frame(spark, BASE), 20)
+    assert t.read().count() == 22 and t.retire(keep=1) == 2 and t.read().count() == 22
+
+
+def test_a_merge_rewrites_only_the_files_it_touches(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    for i in range(3):
+        t.commit(frame(spark, [{"id": 10 * i + k, "value": "v", "other": "o"} for k in range(4)]).coalesce(1), "append")
+    before = t.manifest().files
+    t.merge(frame(spark, [{"id": 12, "value": None}, {"id": 99, "value": "n"}], "id long, value string"), "id", when_not_matched="insert")
+    after = t.manifest().files
+    assert len(set(before) & set(after)) == 2 and t.manifest().rows == t.read().count() == 13
+    assert {r.id: r.value for r in t.read().where("id IN (11, 12, 99)").collect()} == {11: "v", 12: None, 99: "n"}
+    assert t.merge(frame(spark, [{"id": 11, "value": "v"}], "id long, value string"), "id").status == "unchanged"
+
+
 @pytest.mark.parametrize("unmatched", ["error", "ignore", "insert"])
 def test_merge(spark, tmp_path, unmatched):
     t = VersionedTable(spark, str(tmp_path / "t"))

@@ -36,20 +36,31 @@ def position_ranges(df: DataFrame, key: str, position: str, output: str = "range
     return runs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__a", text.alias("t")))), lambda x: x["t"]).alias(output))
 
 
+MAX_TERMS = 2000
+
+
 def rank_blocks(blocks: DataFrame, questions: DataFrame, block_key: list[str], heading_weight: int = 1, min_matches: int = 1, excluded_kinds: tuple[str, ...] = ()) -> DataFrame:
     """Blocks by the terms they share with each question: question_id, the block key, score and rank.
 
     ``blocks`` has document_id, position, kind, headings and text; ``questions``
     question_id and text.  Both are exploded to terms and joined on them, so only
-    blocks with a common term meet a question: no cross join.
+    blocks with a common term meet a question: no cross join.  Up to
+    ``MAX_TERMS`` distinct terms of the questions are known before: then terms
+    that no question has are dropped within the scan.
     """
     usable = blocks.where(~F.coalesce(F.col("kind").isin(list(excluded_kinds)), F.lit(False))) if excluded_kinds else blocks
     title = F.array_join("headings", " ")
-    b = usable.select(*block_key, F.explode(terms(F.concat(title, F.lit(" "), F.coalesce("text", F.lit(""))))).alias("term"))
     q = questions.select("question_id", F.explode(terms(F.col("text"))).alias("term"))
+    asked = [r[0] for r in q.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    held = F.array(*[F.lit(x) for x in sorted(asked)]).cast("array<string>") if len(asked) <= MAX_TERMS else None
+
+    def wanted(text: Column) -> Column:
+        return terms(text) if held is None else F.array_intersect(terms(text), held)
+
+    b = usable.select(*block_key, F.explode(wanted(F.concat(title, F.lit(" "), F.coalesce("text", F.lit(""))))).alias("term"))
     scored = b.join(q, "term").groupBy("question_id", *block_key).agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= min_matches)
     if heading_weight > 1:
-        h = usable.select(*block_key, F.explode(terms(title)).alias("term"))
+        h = usable.select(*block_key, F.explode(wanted(title)).alias("term"))
         extra = h.join(q, "term").groupBy("question_id", *block_key).agg(F.count(F.lit(1)).alias("extra"))
         scored = scored.join(extra, ["question_id", *block_key], "left").withColumn("score", F.col("score") + (heading_weight - 1) * F.coalesce("extra", F.lit(0))).drop("extra")
     w = Window.partitionBy("question_id", block_key[0]).orderBy(F.desc("score"), *block_key[1:])
@@ -73,8 +84,9 @@ def admit_blocks(ranked: DataFrame, cost: str, budget: int, document: str = "doc
         for r in rows:
             strength[r[document]] = max(strength.get(r[document], 0), r["score"])
         docs = sorted(strength, key=lambda d: (-strength[d], str(d)))
+        turn = {d: i for i, d in enumerate(docs)}
         share = budget // max(1, len(docs))
-        order = sorted(rows, key=lambda r: (r["rank"], docs.index(r[document])))
+        order = sorted(rows, key=lambda r: (r["rank"], turn[r[document]]))
         spent = dict.fromkeys(docs, 0)
         total, chosen = 0, set()
         for fair in (True, False):

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline import dataset as W
 from weftline.functions import text, urls
 from weftline.functions.embeddings import HashEncoder, document_spans, map_embeddings
 from weftline.functions.html import page_blocks
@@ -61,8 +62,8 @@ def filter_python(spark, d):
 
 @query
 def rename_drop_add(spark, d):
-    c = table(spark, d, "customer").drop("c_name").withColumnsRenamed({"c_custkey": "id", "c_acctbal": "balance"})
-    return rows.add_column(c, "owes", F.col("balance") < 0)
+    c = W.Dataset(table(spark, d, "customer")).drop_columns("c_name").rename_columns({"c_custkey": "id", "c_acctbal": "balance"})
+    return c.add_column("owes", F.col("balance") < 0).df
 
 
 @query
@@ -72,13 +73,14 @@ def add_column_batch(spark, d):
 
 @query
 def limit_rows(spark, d):
-    """How many rows a limit lets through."""
-    return table(spark, d, "orders").limit(1000).agg(F.count(F.lit(1)).alias("n"))
+    """The first rows of a sorted table, and how many a limit beyond the table lets through."""
+    o = W.Dataset(table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+    return o.sort("o_orderkey").limit(1000).df.withColumn("all", F.lit(o.limit(1 << 30).count()))
 
 
 @query
 def sort_limit(spark, d):
-    return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
+    return W.Dataset(table(spark, d, "orders")).sort(["o_totalprice", "o_orderkey"], descending=[True, False]).limit(100).select_columns(["o_orderkey", "o_totalprice"]).df
 
 
 @query
@@ -544,7 +546,8 @@ def position_ranges(spark, d):
 
 @query
 def json_props_extract(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")).where("k > 50")
+    e = W.Dataset(table(spark, d, "events").select("event_id", "props"))
+    return e.add_column("k", F.get_json_object("props", "$.k").try_cast("long")).filter("k > 50").drop_columns("props").df
 
 
 @query
@@ -588,8 +591,8 @@ def prompt_render(spark, d):
 def prompt_journal_reuse(spark, d):
     """Asked twice over a journal: the second run reuses every answer."""
     t, o = _table(spark), table(spark, d, "orders").select("o_orderpriority")
-    a = map_prompt(o, "Explain {{o_orderpriority}}", EchoClient(), journal=t, schema={"type": "object", "required": ["answer"]})
-    b = map_prompt(o, "Explain {{o_orderpriority}}", EchoClient(), journal=t, schema={"type": "object", "required": ["answer"]})
+    a = map_prompt(o, "Explain {{o_orderpriority}}", EchoClient(), journal=t, schema={"type": "object", "required": ["answer"], "properties": {"answer": {"type": "string"}}})
+    b = map_prompt(o, "Explain {{o_orderpriority}}", EchoClient(), journal=t, schema={"type": "object", "required": ["answer"], "properties": {"answer": {"type": "string"}}})
     return a.unionByName(b).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("answer").alias("answers"), F.count("error").alias("errors"))
 
 
@@ -648,12 +651,12 @@ def json_round_trip(spark, d):
 @query
 def sample_rows(spark, d):
     """A Bernoulli sample of every tenth row or so: its size lies near the mean."""
-    n = table(spark, d, "lineitem").sample(False, 0.1, 7).count()
-    all_ = table(spark, d, "lineitem").count()
+    line = W.Dataset(table(spark, d, "lineitem"))
+    n, all_ = line.random_sample(0.1, 7).count(), line.count()
     return spark.createDataFrame([(abs(n - all_ / 10) < 5 * (all_ * 0.09) ** 0.5,)], "near boolean")
 
 
 @query
 def shuffle_rows(spark, d):
     """Another order, the same rows."""
-    return table(spark, d, "supplier").orderBy(F.rand(3)).agg(F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("keys"))
+    return W.Dataset(table(spark, d, "supplier")).random_shuffle(3).df.agg(F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("keys"))

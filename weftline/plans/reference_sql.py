@@ -21,7 +21,7 @@ SQL: dict[str, str] = {
     "filter_python": "SELECT p_partkey, p_name, p_size FROM part WHERE p_size % 7 = 3 AND length(p_name) > 10",
     "rename_drop_add": "SELECT c_custkey AS id, c_nationkey, c_acctbal AS balance, c_mktsegment, c_acctbal < 0 AS owes FROM customer",
     "add_column_batch": "SELECT p_partkey, p_retailprice, round_even(p_retailprice * 100, 0) AS cents FROM part",
-    "limit_rows": "SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 1000)",
+    "limit_rows": "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS \"all\" FROM orders ORDER BY o_orderkey LIMIT 1000",
     "sort_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
     "json_key_order": "SELECT n_nationkey, n_name FROM nation ORDER BY '{\"k\":' || CAST(n_nationkey AS VARCHAR) || '}' LIMIT 12",
     "join_inner": "SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",

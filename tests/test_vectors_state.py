@@ -161,3 +161,37 @@ def test_queue(spark, tmp_path):
     W.from_items([{"t": "a", "v": "done"}], spark=spark).ack_queue(uri, "t", "v")
     got = W.read_queue(uri, through=2, results=True, spark=spark).take_all()
     assert [(r["sequence"], r["task_id"], r["result"]) for r in got] == [(1, "a", "done"), (2, "b", None)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_scan_and_blocks_agree(spark, monkeypatch, metric):
+    """Few queries are sent to the vectors, many meet them in blocks: the same neighbours, with ties, nulls and kinds."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    rows = [(i, [float(y) for y in x[i % 250]], ["a", "b", None][i % 3]) for i in range(300)] + [(900, None, "a")]
+    df = spark.createDataFrame(rows, "id long, v array<float>, kind string")
+    asked = df.where("id % 7 = 0")
+    for same, skip in ((None, True), (("kind", "kind"), False)):
+        got = []
+        for most in (2000, 0):
+            monkeypatch.setattr(vectors, "SCAN_QUERIES", most)
+            found = vectors.search(asked, df, "id", "v", "id", "v", 4, metric, same=same, skip_self=skip)
+            got.append({(r.query_id, r.rank, r.match_id) for r in found.collect()})
+        assert got[0] == got[1] and len(got[0]) > 100
+    assert vectors.search(asked.limit(0), df, "id", "v", "id", "v", 4).count() == 0
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from weftline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Cluster:
+        conf, sparkContext = spark.conf, Context()
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    if before is None:
+        with pytest.raises(InvalidRequest):
+            session.scratch_root(Cluster())
+    assert session.scratch_root(spark)

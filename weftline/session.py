@@ -2,13 +2,15 @@
 
 Intermediate tables are written as Parquet below the folder the cluster names
 in ``spark.checkpoint.dir``; every executor can read them again after another
-executor is lost.  Only where that setting is missing (tests, notebooks) a
-temporary folder of this machine is used.
+executor is lost.  Only where that setting is missing and Spark runs within this
+process (tests, notebooks) a temporary folder of this machine is used; on a
+cluster a missing setting is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,6 +21,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.errors import InvalidRequest
+
 _LOCAL_ROOT: list[str] = []
 _WRITTEN: list[str] = []
 
@@ -50,6 +54,8 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise InvalidRequest("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="weftline-"))
         atexit.register(shutil.rmtree, _LOCAL_ROOT[0], ignore_errors=True)

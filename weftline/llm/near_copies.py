@@ -54,8 +54,8 @@ ROWS = 5
 #: A pair is verified unless its estimate lies this far below the threshold (over four standard errors).
 SLACK = 0.14
 BLOCK = 512
-#: Bits of the map of documents with partners: 256 rows of 4 kB.
-MARKS = 1 << 23
+#: Bits of the map of documents with partners: 64 rows of 4 kB.
+MARKS = 1 << 21
 
 _WORD: list[np.ndarray] = []
 
@@ -155,15 +155,15 @@ def _variates(x: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key a band: a band is a fixed random group of registers."""
+    """One 32-bit key a band: a band is a fixed random group of registers. A key holds within its band only."""
     rng = np.random.default_rng(31)
-    out = np.empty((len(registers), bands), dtype=np.int64)
+    out = np.empty((len(registers), bands), dtype=np.int32)
     for j in range(bands):
         pick = rng.choice(registers.shape[1], rows, replace=False)
         h = np.full(len(registers), j + 1, dtype=np.uint64)
         for p in pick:
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + registers[:, p])
-        out[:, j] = h.view(np.int64)
+        out[:, j] = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
@@ -177,7 +177,7 @@ def likelihood_similarity(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np
     return np.clip((a - np.sqrt(np.maximum(a * a - 4 * u * u * v * v * m * same, 0))) / (2 * u * v * m), 0, 1)
 
 
-SKETCHED = "doc_id long, n int, mark long, mark_b long, registers binary, keys array<long>, shingles array<long>"
+SKETCHED = "doc_id long, n int, mark long, mark_b long, registers binary, keys array<int>, shingles array<long>"
 
 
 def article_sketches(documents: DataFrame, blocks: DataFrame, model: PageModel | None = None, min_words: int = MIN_WORDS) -> DataFrame:
@@ -241,20 +241,21 @@ def marked(df: DataFrame, pairs: DataFrame, id_: str = "doc_id") -> DataFrame:
 
 
 def candidates(band: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: documents that share a key, each pair once. ``band`` holds key and doc_id and is read several times."""
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / block).cast("int").alias("parts"))
-    held = materialize(band.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int")), "bands")
+    """(a, b), a < b: documents that share a key, each pair once. ``band`` holds doc_id and the columns of the key, and is read several times."""
+    on = [c for c in band.columns if c != "doc_id"]
+    shared = band.groupBy(*on).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*on, F.ceil(F.col("k") / block).cast("int").alias("parts"))
+    held = materialize(band.join(shared, on).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int")), "bands")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = held.select("key", F.col("own").alias("i"), every.alias("j"), F.col("doc_id").alias("a"))
-    b = held.select("key", F.col("own").alias("j"), every.alias("i"), F.col("doc_id").alias("b"))
-    return a.join(b, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
+    a = held.select(*on, F.col("own").alias("i"), every.alias("j"), F.col("doc_id").alias("a"))
+    b = held.select(*on, F.col("own").alias("j"), every.alias("i"), F.col("doc_id").alias("b"))
+    return a.join(b, [*on, "i", "j"]).where("a < b").select("a", "b").distinct()
 
 
 def class_pairs(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity): verified pairs of class representatives, a < b. ``sketched`` is read several times: pass a written table."""
     ship(sketched.sparkSession)
     reps = sketched.groupBy("mark", "mark_b", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    band = sketched.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
+    band = sketched.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.posexplode("keys").alias("band", "key"), "doc_id")
     met = materialize(candidates(band), "met")
     own = marked(sketched.select("doc_id", "n", "registers"), met)
     left = own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))

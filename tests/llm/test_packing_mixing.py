@@ -132,6 +132,21 @@ def test_mixture_shares(spark, small, block):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, M.mixture(docs, targets, block=block).collect()), key=repr)
 
 
+def test_each_source_goes_by_its_own_size(spark):
+    """A source of one block is flown and landed alike, whether another source has many blocks or not."""
+    few = [{"doc_id": i, "id": f"d{i}", "text": "word " * (i % 17 + 1), "source_id": "few"} for i in range(40)]
+    more = [{"doc_id": 100 + i, "id": f"e{i}", "text": "word " * (i % 13 + 1), "source_id": "many"} for i in range(150)]
+    got = []
+    for rows, block in ((few + more, 1000), (few + more, 50)):
+        targets = spark.createDataFrame([("few", 0.1, 1), ("many", 0.9, 1)], "source_id string, weight double, max_repeats int")
+        found = M.mixture(documents(spark, rows), targets, block=block)
+        got.append(sorted(tuple(r) for r in found.where("source_id = 'few'").collect()))
+        share = found.groupBy("source_id").sum("tokens").collect()
+        totals = {r[0]: r[1] for r in share}
+        assert abs(totals["few"] / sum(totals.values()) - 0.1) < 0.01
+    assert got[0] == got[1] and got[0]
+
+
 def test_mixing_dirt(spark):
     docs = documents(spark, [{"doc_id": i, "text": "word " * (3 + i % 7), "source_id": "ab"[i % 2]} for i in range(40)] + [{"doc_id": 99, "text": "x", "source_id": None}, {"doc_id": 98, "text": "x", "source_id": "zz"}, {"doc_id": 97, "text": None, "source_id": "a"}])
     targets = spark.createDataFrame([("a", 0.7, 2), ("a", 0.7, 2), ("b", 0.3, 1), ("c", 0.5, 3), (None, 0.1, 1), ("d", None, None)], "source_id string, weight double, max_repeats int")

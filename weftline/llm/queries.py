@@ -74,6 +74,23 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, d))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity: texts that were placed, containers above it, and texts whose pieces leave a gap or overlap."""
+    item = F.explode("items").alias("item")
+    packed = p6_containers(spark, d)
+    over = packed.groupBy("spec_id").agg(F.count_if(F.col("used_tokens") > F.col("capacity_tokens")).alias("over"), F.count_if(F.col("used_tokens") != F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])).alias("wrong_sums"))
+    pieces = packed.select("spec_id", item).groupBy("spec_id", "item.doc_id").agg(F.sum("item.tokens").alias("n"), F.max(F.col("item.start_token") + F.col("item.tokens")).alias("end"), F.count(F.lit(1)).alias("pieces"), (F.max("item.piece") + 1).alias("named"))
+    texts = pieces.groupBy("spec_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("n") != F.col("end")) | (F.col("pieces") != F.col("named"))).alias("broken"))
+    return over.join(texts, "spec_id")
+
+
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each target that has texts: whether no text is used too often, and the share lies within a fiftieth of what the weights ask."""
+    got = p7_shares(spark, d).where("n_tokens > 0")
+    goal = got.agg(F.sum("target_share").alias("all"))  # one row
+    return got.crossJoin(goal).select("source_id", (F.col("most_repeats") <= F.col("max_repeats")).alias("kept"), (F.abs(F.col("actual_share") - F.col("target_share") / F.col("all")) < 0.02).alias("near"))
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -105,7 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_by_status": p5_by_status,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_invariants": p6_invariants,
     "p7_mixture": p7_mixture,
+    "p7_invariants": p7_invariants,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_languages": p8_languages,

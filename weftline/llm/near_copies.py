@@ -255,7 +255,8 @@ def class_pairs(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity): verified pairs of class representatives, a < b. ``sketched`` is read several times: pass a written table."""
     ship(sketched.sparkSession)
     reps = sketched.groupBy("mark", "mark_b", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    band = sketched.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.posexplode("keys").alias("band", "key"), "doc_id")
+    band = sketched.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.posexplode("keys").alias("band", "part"), "doc_id")
+    band = band.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("part").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "doc_id")  # five bytes that vary
     met = materialize(candidates(band), "met")
     own = marked(sketched.select("doc_id", "n", "registers"), met)
     left = own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))

@@ -11,7 +11,7 @@ from weftline import dataset as W
 from weftline.errors import InvalidRequest, StallError
 from weftline.operators import stateful, vectors
 from weftline.snapshot.table import VersionedTable
-from weftline.streaming import streams
+from weftline.streaming import ledger, streams
 
 
 def exact(q, v, metric):
@@ -195,3 +195,62 @@ def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
         with pytest.raises(InvalidRequest):
             session.scratch_root(Cluster())
     assert session.scratch_root(spark)
+
+
+def test_ledger_goes_on_where_it_was_stopped(spark, tmp_path):
+    table, log = VersionedTable(spark, str(tmp_path / "l")), tmp_path / "log"
+    log.write_text("")
+
+    def call(r):
+        with open(log, "a") as f:
+            f.write(f"{r['k']}\n")
+        if r["k"] % 5 == 0:
+            raise ValueError("no fives")
+        return {"twice": 2 * r["k"]}
+
+    df = spark.createDataFrame([(k, "x") for k in range(1, 21)] + [(None, "y")], "k long, note string")
+    turns = iter([False, False, True])
+    first = ledger.map_ledger(df, "k", call, "twice long", table, parts=4, stop=lambda: next(turns))
+    some = first.count()
+    assert 0 < some < 16 and table.head() == 2
+    for run in range(3):
+        got = ledger.map_ledger(df, "k", call, "twice long", table, parts=4)
+        assert rows(got) == [{"k": k, "twice": 2 * k} for k in sorted(range(1, 21), key=lambda k: repr({"k": k, "twice": 2 * k})) if k % 5]
+    asked = [int(x) for x in log.read_text().split()]
+    assert all(asked.count(k) == (3 if k % 5 == 0 else 1) for k in range(1, 21))
+    seen = {r.k: (r.state, r.attempts) for r in ledger.states(table, "k").collect()}
+    assert seen[5] == ("failed", 3) and seen[4] == ("completed", 0)
+    assert ledger.map_ledger(df.limit(0), "k", call, "twice long", VersionedTable(spark, str(tmp_path / "e"))).count() == 0
+    with pytest.raises(InvalidRequest):
+        ledger.map_ledger(df, "k", call, "state string", table)
+
+
+def test_several_sinks_of_one_stream(spark, tmp_path):
+    a, b = (VersionedTable(spark, str(tmp_path / n)) for n in "ab")
+    broken = [True]
+
+    def second(batch, number):
+        if broken[0]:
+            raise OSError("the second sink is away")
+        streams.save_batches(b, "b")(batch, number)
+
+    save = streams.save_to_all(streams.save_batches(a, "a"), second)
+    df = spark.range(5).select("id")
+    with pytest.raises(OSError):
+        save(df, 0)
+    broken[0] = False
+    save(df, 0)
+    save(df, 0)
+    assert (a.head(), b.head()) == (1, 1) and rows(a.read()) == rows(b.read())
+
+
+def test_claims_and_leases(spark, tmp_path):
+    q = streams.MessageQueue(spark, str(tmp_path / "q"))
+    q.enqueue(spark.createDataFrame([(f"t{i}", str(i)) for i in range(5)], "id string, v string"), "id", "v")
+    assert [r.task_id for r in q.claim("w1", 2, 10, now=100.0).collect()] == ["t0", "t1"]
+    assert [r.task_id for r in q.claim("w2", 2, 10, now=101.0).collect()] == ["t2", "t3"]
+    q.ack(spark.createDataFrame([("t0", "done")], "id string, v string"), "id", "v")
+    assert [(r.task_id, r.attempt) for r in q.claim("w3", 5, 10, now=110.5).collect()] == [("t1", 2), ("t4", 1)]
+    assert q.claim("w4", 5, 10, attempts=2, now=130.0).count() == 3 and q.claim("w4", 5, 10, attempts=2, now=131.0).count() == 0
+    assert sorted(r.task_id for r in q.dead_tasks(2, now=200.0).collect()) == ["t1", "t2", "t3", "t4"]
+    assert q.dead_tasks(2, now=135.0).count() == 1

@@ -77,11 +77,14 @@ def verify_objects(df: DataFrame, content: str, digest: str, max_bytes: int = 8
 
 
 def image_preflight(size: str, mime: str, width: str, height: str, max_bytes: int, mimes: list[str], min_side: int = 0, min_pixels: int = 0):
-    """Why an announced image is not wanted, or null: an expression over its declared size, type and dimensions."""
-    s, m, w, h = F.col(size), F.lower(F.col(mime)), F.col(width), F.col(height)
+    """Why an announced image is not wanted, or null: an expression over its declared size, type and dimensions.
+
+    Parameters of a type do not count, and ``application/octet-stream`` says nothing about the content.
+    """
+    s, m, w, h = F.col(size), F.lower(F.trim(F.split(F.col(mime), ";")[0])), F.col(width), F.col(height)
     return (
         F.when(s > max_bytes, "declared_size")
-        .when(m.isNotNull() & ~m.isin([x.lower() for x in mimes]), "mime")
+        .when(m.isNotNull() & ~m.isin(["application/octet-stream", *[x.lower() for x in mimes]]), "mime")
         .when(F.least(w, h) < min_side, "min_side")
         .when(w * h < min_pixels, "min_pixels")
     )

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from weftline.errors import StallError
 from weftline.operators.keys import check_columns
-from weftline.session import ship
+from weftline.session import materialize, ship
 from weftline.snapshot.table import VersionedTable
 
 
@@ -101,6 +101,22 @@ def save_batches(table: VersionedTable, stage: str, mode: str = "append", on: li
     return each
 
 
+def save_to_all(*saves: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Several sinks for one stream: a batch is over when all have it.
+
+    Each sink must be idempotent, as those of :func:`save_batches` are: after a
+    stop between two sinks the batch comes again, and sinks that have it skip it.
+    The batch is written once and read by every sink, so all see the same rows.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        held = materialize(batch, "batch")
+        for save in saves:
+            save(held, number)
+
+    return each
+
+
 def stream_deduplicate(df: DataFrame, on: list[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """First arrivals of a stream; with a watermark the state of old keys is dropped."""
     check_columns(df, on)
@@ -167,13 +183,16 @@ def stream_group_batches(df: DataFrame, on: list[str], max_rows: int = 32, flush
 class MessageQueue:
     """A durable queue as two versioned tables: messages with rising sequence numbers, and results.
 
-    Messages are immutable; a task is open while it has no result.
+    Messages are immutable; a task is open while it has no result.  Workers take
+    tasks by :meth:`claim`: a claim holds until its lease ends, and a task that was
+    claimed ``attempts`` times without a result is dead.
     """
 
     def __init__(self, spark: SparkSession, uri: str):
         self.spark = spark
         self.messages = VersionedTable(spark, f"{uri.rstrip('/')}/messages")
         self.results = VersionedTable(spark, f"{uri.rstrip('/')}/results")
+        self.claims = VersionedTable(spark, f"{uri.rstrip('/')}/claims")
 
     def high_water(self) -> int:
         if not self.messages.head():
@@ -216,3 +235,25 @@ class MessageQueue:
             rows = rows.join(self.results.read().select("task_id"), "task_id", "left_anti")
         if not rows.isEmpty():
             self.results.commit(rows, "append", expected_version=self.results.head())
+
+    def _claimed(self) -> DataFrame:
+        """Each claimed task with its number of claims and the end of its last lease."""
+        held = self.claims.read() if self.claims.head() else self.spark.createDataFrame([], "task_id string, worker string, until double")
+        return held.groupBy("task_id").agg(F.count(F.lit(1)).alias("attempt"), F.max("until").alias("until"))
+
+    def claim(self, worker: str, limit: int, lease_seconds: float, attempts: int = 3, now: float | None = None) -> DataFrame:
+        """Up to ``limit`` open tasks in order that no live lease holds, now held by ``worker``: sequence, task_id, value, attempt.
+
+        Of two workers that claim at once one gets ``WriteConflict`` and asks again.
+        """
+        now = time.time() if now is None else now
+        head = self.claims.head()
+        free = self.open_tasks().join(self._claimed(), "task_id", "left").where((F.coalesce("until", F.lit(0.0)) <= now) & (F.coalesce("attempt", F.lit(0)) < attempts))
+        taken = materialize(free.orderBy("sequence").limit(limit).select("sequence", "task_id", "value", (F.coalesce("attempt", F.lit(0)) + 1).cast("int").alias("attempt")), "claimed")
+        self.claims.commit(taken.select("task_id", F.lit(worker).alias("worker"), F.lit(float(now + lease_seconds)).alias("until")), "append", expected_version=head, skip_empty=head > 0)
+        return taken.orderBy("sequence")
+
+    def dead_tasks(self, attempts: int = 3, now: float | None = None) -> DataFrame:
+        """Open tasks that were claimed ``attempts`` times and whose last lease is over."""
+        over = self._claimed().where((F.col("attempt") >= attempts) & (F.col("until") <= (time.time() if now is None else now)))
+        return self.open_tasks().join(over.select("task_id"), "task_id", "left_semi")

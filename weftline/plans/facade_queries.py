@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weftline import dataset as W
 from weftline.functions import embeddings, html, images, jsonschema, text
 from weftline.functions.urls import normalize_url
+from weftline.operators import vectors
 from weftline.operators.keys import json_order
 from weftline.session import execution, scratch_root, table
 from weftline.snapshot.catalog import Catalog, Releases, pin
@@ -441,3 +442,29 @@ def digests_of_rows(spark, d):
     return a.agg(F.countDistinct("digest").alias("n")).crossJoin(a.unionByName(b).agg(F.countDistinct("digest").alias("of_both")))  # one row each
 
 
+@query
+def vectors_checked(spark, d):
+    """Vectors spoilt in four ways, and what is said of each."""
+    e, v = table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("embedding")
+    kind = F.pmod("vec_id", F.lit(5))
+    spoilt = (
+        F.when(kind == 1, F.lit(None))
+        .when(kind == 2, F.slice(v, 1, 63))
+        .when(kind == 3, F.concat(F.slice(v, 1, 63), F.array(F.lit(float("nan")).cast("float"))))
+        .when(kind == 4, F.transform(v, lambda x: x * F.lit(0.0).cast("float")))
+        .otherwise(v)
+    )
+    got = vectors.check_embeddings(e.withColumn("embedding", spoilt.cast("array<float>")), "embedding", 64)
+    return got.select("vec_id", F.coalesce("error", F.lit("")).alias("error"), F.col("embedding").isNotNull().alias("kept"))
+
+
+@query
+def index_recall_bound(spark, d):
+    """The neighbours that an index over all vectors was asked for, and whether nine of ten were found."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    indexed, centres = vectors.index_vectors(e, "vec_id", "embedding", cells=8)
+    asked = e.where("vec_id % 100 = 0")
+    near = vectors.search_index(asked, indexed, centres, "vec_id", "embedding", "vec_id", "embedding", 10, probes=6)
+    exact = vectors.search(asked, e, "vec_id", "embedding", "vec_id", "embedding", 10)
+    hits = exact.join(near.select("query_id", "match_id", F.lit(1).alias("hit")), ["query_id", "match_id"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("n"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))

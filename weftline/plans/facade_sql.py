@@ -60,4 +60,6 @@ e AS (SELECT h.document_id, h.a, min(b.position) AS z FROM h LEFT JOIN b ON b.do
 SELECT e.document_id, count(*) AS n, min(b.position) AS first, max(b.position) AS last FROM e JOIN b ON b.document_id = e.document_id AND b.position >= e.a AND (e.z IS NULL OR b.position < e.z) GROUP BY e.document_id""",
     "hash_embeddings": "SELECT p_brand, CAST(1 AS BIGINT) AS vectors, CAST(1.0 AS DOUBLE) AS square, CAST(16 AS INTEGER) AS dim FROM part GROUP BY p_brand",
     "digests_of_rows": "SELECT count(*) AS n, count(*) AS of_both FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_linenumber FROM lineitem)",
+    "vectors_checked": "SELECT vec_id, CASE vec_id % 5 WHEN 1 THEN 'null' WHEN 2 THEN 'dimension' WHEN 3 THEN 'not finite' WHEN 4 THEN 'zero' ELSE '' END AS error, vec_id % 5 = 0 AS kept FROM embeddings",
+    "index_recall_bound": "SELECT 10 * count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
 }

@@ -88,3 +88,18 @@ def test_async_rows_and_lifecycle(spark):
 def test_arrow_in_and_out(spark):
     assert W.from_arrow(pa.table({"a": [1, 2]}), spark).sum("a") == 3
     assert W.Dataset(spark.range(3)).take_batch(2, "pyarrow").num_rows == 2
+
+
+def test_dropped_rows_are_counted(spark):
+    missed = spark.sparkContext.accumulator(0)
+    got = W.from_items([{"k": k} for k in range(20)], "k long", spark).map(lambda r: {"share": 10 // (r["k"] % 4)}, "share long", catch=(ZeroDivisionError,), missed=missed)
+    assert got.count() == 15 and missed.value == 5
+
+
+def test_least_and_greatest_of_nothing(spark):
+    from weftline.operators import aggregates as A
+
+    none = W.from_items([{"v": None}], "v double", spark)
+    assert none.aggregate(A.Min("v", alias="a", zero=lambda: 0.0), A.Max("v", alias="b")) == {"a": 0.0, "b": None}
+    one = W.from_items([{"v": 3.0}], "v double", spark)
+    assert one.aggregate(A.Min("v", alias="a", zero=lambda: 0.0), A.Max("v", alias="b", zero=lambda: 9.0)) == {"a": 3.0, "b": 3.0}

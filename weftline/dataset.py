@@ -64,11 +64,11 @@ class Dataset:
     def filter(self, fn: Any) -> Dataset:
         return self._of(rows.filter_rows(self.df, fn))
 
-    def map(self, fn: Any, schema: Any = None, inputs: list[str] | None = None, output: str | None = None, outputs: list[str] | None = None, returns: Any = "string", args: tuple = (), kwargs: dict | None = None, catch: tuple = ()) -> Dataset:
+    def map(self, fn: Any, schema: Any = None, inputs: list[str] | None = None, output: str | None = None, outputs: list[str] | None = None, returns: Any = "string", args: tuple = (), kwargs: dict | None = None, catch: tuple = (), missed: Any = None) -> Dataset:
         """A whole row function, or with ``inputs`` one bound to columns."""
         if inputs is not None:
             return self._of(rows.map_bound(self.df, fn, inputs, output, outputs, returns, args, kwargs))
-        return self._of(rows.map_rows(self.df, fn, schema, args, kwargs, catch))
+        return self._of(rows.map_rows(self.df, fn, schema, args, kwargs, catch, missed))
 
     def flat_map(self, fn: Any, schema: Any = None, args: tuple = (), kwargs: dict | None = None) -> Dataset:
         return self._of(rows.flat_map_rows(self.df, fn, schema, args, kwargs))

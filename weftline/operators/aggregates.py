@@ -74,18 +74,24 @@ class Sum(Aggregate):
 
 @dataclass(frozen=True)
 class Min(Aggregate):
+    """The least value; ``zero`` makes what stands for no value at all, else null."""
+
+    zero: Callable[[], Any] | None = None
     kind = "min"
 
     def of(self, v: Column) -> Column:
-        return F.min(v)
+        return F.min(v) if self.zero is None else F.when(F.count(v) == 0, F.lit(self.zero())).otherwise(F.min(v))
 
 
 @dataclass(frozen=True)
 class Max(Aggregate):
+    """The greatest value; ``zero`` makes what stands for no value at all, else null."""
+
+    zero: Callable[[], Any] | None = None
     kind = "max"
 
     def of(self, v: Column) -> Column:
-        return F.max(v)
+        return F.max(v) if self.zero is None else F.when(F.count(v) == 0, F.lit(self.zero())).otherwise(F.max(v))
 
 
 @dataclass(frozen=True)

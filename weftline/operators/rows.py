@@ -65,13 +65,18 @@ def _over_rows(df: DataFrame, fn: Any, args: tuple, kwargs: dict | None, schema:
     return df.mapInArrow(run, kind)
 
 
-def map_rows(df: DataFrame, fn: Any, schema: Any = None, args: tuple = (), kwargs: dict | None = None, catch: tuple[type[BaseException], ...] = ()) -> DataFrame:
-    """Replace each row by the mapping that ``fn(row)`` returns; errors of the types in ``catch`` drop the row."""
+def map_rows(df: DataFrame, fn: Any, schema: Any = None, args: tuple = (), kwargs: dict | None = None, catch: tuple[type[BaseException], ...] = (), missed: Any = None) -> DataFrame:
+    """Replace each row by the mapping that ``fn(row)`` returns; errors of the types in ``catch`` drop the row.
+
+    ``missed``, an accumulator of the Spark context, counts the rows that are dropped (again where a task is run again).
+    """
 
     def one(call: Callable, row: dict) -> Iterable[dict]:
         try:
             out = call(row)
         except catch:
+            if missed is not None:
+                missed.add(1)
             return []
         if not isinstance(out, dict):
             raise InvalidRequest("a row function must return a mapping")

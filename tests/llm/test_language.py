@@ -62,3 +62,12 @@ def test_nothing_to_learn_from(spark, small):
     assert L.wrong_languages(empty(spark, DOC), langs).count() == 0
     assert L.wrong_languages(documents(spark, [{"doc_id": 1, "text": "a text", "lang": None}]), langs).count() == 0
     assert L.wrong_languages(cases(spark), langs.limit(0)).count() == 0
+
+
+def test_bare_lines_of_any_length():
+    from weftline.llm.language import _bare
+
+    for line in ("text " * 400, "{{first_name}} " * 50, "sample text " * 90, "${a} %%B%% <%= c %>"):
+        assert _bare(line), line[:30]
+    for line in ("the mill stood by the river " * 20, "no no", "a field written as {{ title }} is replaced by the name of the bridge"):
+        assert not _bare(line), line[:30]
